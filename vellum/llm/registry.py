@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.llm import tokenizing
+from vellum.llm import neighbours, tokenizing
 
 QUERIES = {
+    "p2_found": neighbours.p2_found,
     "p6_ids": tokenizing.p6_ids,
 }
 
