@@ -75,4 +75,4 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def within_bytes(df: DataFrame, limit: int) -> bool:
     """True if Catalyst's size estimate of ``df`` (from file sizes) is at most ``limit``."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString()) <= limit
+    return int(str(stats.sizeInBytes())) <= limit
