@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from vellum.llm import neighbours, tokenizing
+from vellum.llm import clustering, cooccurrence, neighbours, tokenizing
 
 QUERIES = {
+    "p5_found": clustering.p5_found,
+    "p5_clusters": clustering.p5_clusters,
+    "p3_found": cooccurrence.p3_found,
     "p2_found": neighbours.p2_found,
     "p6_ids": tokenizing.p6_ids,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p3_found": cooccurrence.P3_FOUND,
+}
