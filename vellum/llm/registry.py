@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from vellum.llm import clustering, cooccurrence, neighbours, tokenizing
+from vellum.llm import clustering, cooccurrence, neighbours, splitting, tokenizing
 
 QUERIES = {
+    "p4_found": splitting.p4_found,
+    "p4_pieces": splitting.p4_pieces,
     "p5_found": clustering.p5_found,
     "p5_clusters": clustering.p5_clusters,
     "p3_found": cooccurrence.p3_found,
