@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from vellum.llm import clustering, cooccurrence, neighbours, splitting, tokenizing
+from vellum.llm import clustering, cooccurrence, neighbours, splitting, subjects, tokenizing
 
 QUERIES = {
+    "p8_found": subjects.p8_found,
+    "p8_posteriors": subjects.p8_posteriors,
     "p4_found": splitting.p4_found,
     "p4_pieces": splitting.p4_pieces,
     "p5_found": clustering.p5_found,
