@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.llm import clustering, cooccurrence, neighbours, splitting, subjects, tokenizing
+from vellum.llm import clustering, cooccurrence, leakage, neighbours, splitting, subjects, tokenizing
 
 QUERIES = {
+    "p7_found": leakage.p7_found,
     "p8_found": subjects.p8_found,
     "p8_posteriors": subjects.p8_posteriors,
     "p4_found": splitting.p4_found,
