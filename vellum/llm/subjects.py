@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.session import within_bytes
+from vellum.session import materialise, within_bytes
 
 # Frequent words by which a text's language is told, and the buckets of each language.
 FUNCTION_WORDS = {
@@ -127,35 +127,63 @@ def posteriors(w: np.ndarray, buckets: np.ndarray, starts: np.ndarray, doc: np.n
     return p, mass
 
 
-def _batches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[str]]]:
-    """Slices of a batch with about a million characters of text."""
-    texts = batch.column(column).to_pylist()
-    a, n = 0, 0
-    for i, t in enumerate(texts):
-        n += len(t or "")
-        if n > CHARS_AT_ONCE or i == len(texts) - 1:
-            yield a, i + 1, [x or "" for x in texts[a : i + 1]]
-            a, n = i + 1, 0
+FLAG, MASK = 1 << 30, (1 << 30) - 1  # the first word of a segment is flagged
+WORDS_AT_ONCE = 200_000
+
 
+def encode(documents: DataFrame) -> DataFrame:
+    """(doc_id, language, codes): each text as its words' buckets, four bytes a word; texts without a word are left out."""
 
-def _counts(rows: DataFrame, k: int, model: np.ndarray | None, labelled: bool, least_bucket: int = 0) -> np.ndarray:
-    """Expected counts [subject + 1, bucket] over ``rows`` (text[, votes]); at most BUCKETS rows reach the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = Segmenter()
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            a, n = 0, 0
+            for i, t in enumerate(texts):
+                n += len(t)
+                if n <= CHARS_AT_ONCE and i < len(texts) - 1:
+                    continue
+                buckets, starts, doc = cut(texts[a : i + 1])
+                codes = buckets.astype(np.int32)
+                codes[starts] |= FLAG
+                words = np.bincount(np.repeat(doc, np.diff(np.append(starts, len(buckets)))), minlength=i + 1 - a)
+                ends = np.cumsum(words)
+                data = codes.tobytes()
+                some = np.flatnonzero(words)
+                language = np.searchsorted(BASES, buckets[(ends - words)[some]], side="right") - 1
+                values = [data[4 * (e - w) : 4 * e] for e, w in zip(ends[some].tolist(), words[some].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some + a)), pa.array(language.astype(np.int32)), pa.array(values, pa.binary())], names=["doc_id", "language", "codes"])
+                a, n = i + 1, 0
+
+    rows = documents.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, language int, codes binary")
+
+
+def _decoded(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, buckets, first word and text of each segment) of slices of a batch."""
+    values = batch.column(column).to_pylist()
+    a, n = 0, 0
+    for i, v in enumerate(values):
+        n += len(v) // 4
+        if n <= WORDS_AT_ONCE and i < len(values) - 1:
+            continue
+        codes = np.frombuffer(b"".join(values[a : i + 1]), np.int32)
+        starts = np.flatnonzero(codes & FLAG)
+        ends = np.cumsum([len(x) // 4 for x in values[a : i + 1]])
+        yield a, i + 1, codes & MASK, starts, np.searchsorted(ends, starts, side="right")
+        a, n = i + 1, 0
+
+
+def _counts(rows: DataFrame, k: int, model: np.ndarray | None, labelled: bool) -> np.ndarray:
+    """Expected counts [subject + 1, bucket] over ``rows`` (codes[, votes]); at most BUCKETS rows reach the driver."""
     names = [f"c{i}" for i in range(k + 1)]
     share = rows.sparkSession.sparkContext.broadcast(model)  # BUCKETS x subjects floats, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, w = Segmenter(), share.value
+        w = share.value
         out = np.zeros((BUCKETS, k + 1), np.float32)
         for batch in batches:
-            for a, b, texts in _batches(batch, 0):
-                buckets, starts, doc = cut(texts)
-                if not len(buckets):
-                    continue
-                if least_bucket:  # only texts of the later languages
-                    texts = [t for t, b0 in zip(texts, _first_bucket(buckets, starts, doc, len(texts))) if b0 >= least_bucket]
-                    if not texts:
-                        continue
-                    buckets, starts, doc = cut(texts)
+            for a, b, buckets, starts, doc in _decoded(batch, 0):
                 prior = None
                 if labelled:
                     votes = np.array(batch.column(1).slice(a, b - a).to_pylist(), float)
@@ -163,11 +191,14 @@ def _counts(rows: DataFrame, k: int, model: np.ndarray | None, labelled: bool, l
                 if w is None:
                     p = np.concatenate([prior[doc] * (1 - NONE_PRIOR), np.full((len(doc), 1), NONE_PRIOR)], 1)
                 else:
-                    p, _ = posteriors(w, buckets, starts, doc, len(texts), prior)
+                    p, _ = posteriors(w, buckets, starts, doc, b - a, prior)
+                # Only the few subjects that a segment may be about are added, bucket by bucket.
                 n = np.diff(np.append(starts, len(buckets)))
-                per_word = np.repeat(p.astype(np.float32), n, axis=0)
+                segment = np.repeat(np.arange(len(starts)), n)
                 for s in range(k + 1):
-                    out[:, s] += np.bincount(buckets, weights=per_word[:, s], minlength=BUCKETS).astype(np.float32)
+                    about = p[:, s] > 1e-3
+                    words = about[segment]
+                    np.add.at(out[:, s], buckets[words], p[segment[words], s].astype(np.float32))
         at = np.flatnonzero(out.sum(1) > 0)
         for s in range(0, len(at), 50_000):
             part = at[s : s + 50_000]
@@ -183,12 +214,6 @@ def _counts(rows: DataFrame, k: int, model: np.ndarray | None, labelled: bool, l
     return out
 
 
-def _first_bucket(buckets: np.ndarray, starts: np.ndarray, doc: np.ndarray, n: int) -> list[int]:
-    out = np.full(n, -1, np.int64)
-    out[doc[::-1]] = buckets[starts][::-1]
-    return out.tolist()
-
-
 def label_votes(labels: DataFrame, subjects: list[str]) -> DataFrame:
     """(doc_id, votes): per document the number of annotators for each subject; spelling doesn't matter."""
     spelt = F.regexp_replace(F.lower(F.trim("subject")), r"[\s_\-]+", "_")
@@ -196,55 +221,54 @@ def label_votes(labels: DataFrame, subjects: list[str]) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.array(*[F.sum(F.when(F.col("subject") == s, 1.0).otherwise(0.0)) for s in subjects]).alias("votes"))
 
 
-def train(documents: DataFrame, labels: DataFrame, subjects: list[str], labelled_rounds: int = 3, rounds: int = 2, other_rounds: int = 4, max_labelled: int = 50_000) -> np.ndarray:
-    """Word weights. Fitted on at most ``max_labelled`` labelled documents, then ``rounds`` times on all
-    documents and ``other_rounds`` times more on those not in the first language."""
+def train(encoded: DataFrame, labels: DataFrame, subjects: list[str], labelled_rounds: int = 3, rounds: int = 2, other_rounds: int = 4, max_labelled: int = 50_000) -> np.ndarray:
+    """Word weights from encoded documents, which should be a written table.
+
+    Fitted on at most ``max_labelled`` labelled documents, then ``rounds`` times on all
+    documents and ``other_rounds`` times more on those not in the first language.
+    """
     k = len(subjects)
     votes = label_votes(labels, subjects).limit(max_labelled)
     small = within_bytes(labels, 8 << 20)
-    texts = documents.filter(F.col("text").isNotNull())
-    known = texts.join(F.broadcast(votes) if small else votes, "doc_id").select("text", "votes").persist()
+    known = encoded.join(F.broadcast(votes) if small else votes, "doc_id").select("codes", "votes").persist()
     counts = _counts(known, k, None, True)
     for _ in range(labelled_rounds):
         counts = _counts(known, k, weights(counts), True)
     known.unpersist()
     seeds = counts
     for _ in range(rounds):
-        counts = _counts(texts.select("text"), k, weights(counts), False) + seeds
+        counts = _counts(encoded.select("codes"), k, weights(counts), False) + seeds
     rest = int(BASES[1])
+    others = encoded.filter("language > 0").select("codes")
     for _ in range(other_rounds):  # the languages of few labels take longer; their blocks are their own
-        counts[:, rest:] = (_counts(texts.select("text"), k, weights(counts), False, rest) + seeds)[:, rest:]
+        counts[:, rest:] = (_counts(others, k, weights(counts), False) + seeds)[:, rest:]
     return weights(counts)
 
 
-def subject_shares(documents: DataFrame, model: np.ndarray, subjects: list[str], least: float = 0.0) -> DataFrame:
+def subject_shares(encoded: DataFrame, model: np.ndarray, subjects: list[str], least: float = 0.0) -> DataFrame:
     """(doc_id, subject, share, words): shares of what a document says about any subject.
 
-    A row for each subject of a share above ``least``. ``words`` counts the
-    evidence-bearing words. A null, empty or subjectless text has no row; equal
-    rows stay separate rows.
+    A row for each subject of a share of at least ``least`` and above 0. ``words``
+    counts the evidence-bearing words. A null, empty or subjectless text has no
+    row; equal rows stay separate rows.
     """
     k = len(subjects)
-    share = documents.sparkSession.sparkContext.broadcast(model)
+    share = encoded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, w = Segmenter(), share.value
+        w = share.value
         for batch in batches:
-            for a, b, texts in _batches(batch, 1):
-                buckets, starts, doc = cut(texts)
-                if not len(buckets):
-                    continue
-                p, mass = posteriors(w, buckets, starts, doc, len(texts), None)
-                said = np.zeros((len(texts), k))
+            for a, b, buckets, starts, doc in _decoded(batch, 1):
+                p, mass = posteriors(w, buckets, starts, doc, b - a, None)
+                said = np.zeros((b - a, k))
                 np.add.at(said, doc, p[:, :k] * mass[:, None])
                 total = said.sum(1)
                 frac = said / np.maximum(total, 1e-9)[:, None]
-                d, s = np.nonzero((frac > least) & (total >= 1)[:, None])
+                d, s = np.nonzero((frac >= max(least, 1e-6)) & (total >= 1)[:, None])
                 ids = batch.column(0).slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(d)), pa.array(np.array(subjects, object)[s], pa.string()), pa.array(frac[d, s]), pa.array(total[d])], names=["doc_id", "subject", "share", "words"])
 
-    rows = documents.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, subject string, share double, words double")
+    return encoded.select("doc_id", "codes").mapInArrow(run, "doc_id long, subject string, share double, words double")
 
 
 def calibrate(shares: DataFrame, labels: DataFrame, subjects: list[str], max_labelled: int = 50_000) -> dict[str, tuple[float, float]]:
@@ -282,11 +306,12 @@ def _tables(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
 
 def p8_found(spark, sf_dir: str) -> DataFrame:
     documents, labels, subjects = _tables(spark, sf_dir)
-    model = train(documents, labels, subjects)
-    return subject_shares(documents, model, subjects, least=0.2).select("doc_id", "subject").distinct()
+    encoded = materialise(encode(documents), "codes")
+    return subject_shares(encoded, train(encoded, labels, subjects), subjects, least=0.2).select("doc_id", "subject").distinct()
 
 
 def p8_posteriors(spark, sf_dir: str) -> DataFrame:
     documents, labels, subjects = _tables(spark, sf_dir)
-    shares = subject_shares(documents, train(documents, labels, subjects), subjects)
+    encoded = materialise(encode(documents), "codes")
+    shares = subject_shares(encoded, train(encoded, labels, subjects), subjects)
     return with_posterior(shares, calibrate(shares, labels, subjects))
