@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from vellum.llm import clustering, cooccurrence, leakage, neighbours, splitting, subjects, tokenizing
+from vellum.llm import clustering, cooccurrence, leakage, linkage, neighbours, splitting, subjects, tokenizing
 
 QUERIES = {
+    "p1_found": linkage.p1_found,
+    "p1_matches": linkage.p1_matches,
     "p7_found": leakage.p7_found,
     "p8_found": subjects.p8_found,
     "p8_posteriors": subjects.p8_posteriors,
