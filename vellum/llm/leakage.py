@@ -32,7 +32,8 @@ NUMBER, NAME, UNIT = 1, 2, 3
 UNITS = "percent points hours days weeks months years winters tokens pages sheets copies samples rows plates files units crates runs times probes spare extra".split()
 MARKUP = re.compile(r"<[a-zA-Z/!][^<>]{0,300}>|\\[a-zA-Z]+\{?|\{\\[a-z]+")
 LINE_HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐­][ \t]*(?:\r\n|[\r\n])[ \t]*(?=[^\W\d_])")
-INVISIBLE = re.compile(r"[­​-‏⁠-⁤﻿\x00-\x08\x0e-\x1f\x7f]")
+#: Control and zero-width characters and combining marks.
+INVISIBLE = re.compile(r"[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯­​-‏⁠-⁤﻿\x00-\x08\x0e-\x1f\x7f]")
 WORD = re.compile(r"[^\W_]+")
 ASCII_WORD = re.compile(r"[a-z0-9]+")
 
@@ -43,12 +44,11 @@ def canonical_words(text: str) -> list[str]:
         text = MARKUP.sub(" ", text)
     if "&" in text:
         text = html.unescape(text)
-    if "-" in text or not text.isascii():
+    if ("\n" in text or "\r" in text) and ("-" in text or not text.isascii()):
         text = LINE_HYPHEN.sub("", text)
     if text.isascii():
         return ASCII_WORD.findall(INVISIBLE.sub("", text).lower() if not text.isprintable() else text.lower())
     text = INVISIBLE.sub("", unicodedata.normalize("NFKD", text))
-    text = "".join(c for c in text if not unicodedata.combining(c)) if not text.isascii() else text
     return WORD.findall(text.casefold())
 
 
@@ -128,14 +128,15 @@ def leaks(item: np.ndarray, doc: np.ndarray, lead: int, seeds: np.ndarray, min_w
         new_g[1:] = np.where(same, np.where(fresh, 1, good[:-1] + 1), good[:-1])
         use = score - 2 > new_s  # an item word left out
         new_s[use], new_b[use], new_g[use] = score[use] - 2, begin[use], good[use]
-        for _ in range(2):  # up to two words added in a row
-            at = np.flatnonzero(new_s[:-1] - 2 > new_s[1:]) + 1
-            if not len(at):
-                break
-            new_s[at], new_b[at], new_g[at] = new_s[at - 1] - 2, new_b[at - 1], new_g[at - 1]
-        new_s[new_s < 0] = 0
-        ends = np.flatnonzero(same & (new_s[1:] > 0)) + 1
-        if len(ends) and i + 1 >= min_words:
+        if new_s.max() > 2:
+            for _ in range(2):  # up to two words added in a row
+                at = np.flatnonzero(new_s[:-1] - 2 > new_s[1:]) + 1
+                if not len(at):
+                    break
+                new_s[at], new_b[at], new_g[at] = new_s[at - 1] - 2, new_b[at - 1], new_g[at - 1]
+        np.maximum(new_s, 0, out=new_s)
+        if i + 1 >= min_words and same.any():
+            ends = np.flatnonzero(same & (new_s[1:] > 0)) + 1
             span = i - new_b[ends] + 1
             own = i + 1 - np.maximum(new_b[ends], lead)
             if ((span >= min_words) & (own * 2 >= min_words) & ((new_g[ends] + 1) * share >= span * (share - 1))).any():
@@ -144,7 +145,7 @@ def leaks(item: np.ndarray, doc: np.ndarray, lead: int, seeds: np.ndarray, min_w
     return False
 
 
-NEAR, BAND, DENSE = 16, 2, 9
+NEAR, BAND, DENSE = 16, 2, 10
 
 
 def promising(t: Templates, codes: np.ndarray, item: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -156,10 +157,10 @@ def promising(t: Templates, codes: np.ndarray, item: np.ndarray, at: np.ndarray,
     span = np.arange(-NEAR + WINDOW, NEAR)
     q = place[:, None] + span
     inside = (q >= 0) & (q < t.length[item][:, None])
-    want = np.where(inside, t.flat[np.clip(t.offset[item][:, None] + q, 0, len(t.flat) - 1)], -2)
+    want = np.where(inside, t.flat[np.minimum(np.maximum(t.offset[item][:, None] + q, 0), len(t.flat) - 1)], -2)
     agree = np.zeros(want.shape, bool)
     for e in range(-BAND, BAND + 1):
-        agree |= doc[np.clip(at[:, None] + span + e + pad, 0, len(doc) - 1)] == want
+        agree |= doc[at[:, None] + (span + e + pad)] == want
     c = np.cumsum(np.pad(agree, ((0, 0), (1, 0))), axis=1)
     return (c[:, NEAR:] - c[:, :-NEAR]).max(1) >= DENSE
 
@@ -241,7 +242,8 @@ def _leaked(spark, docs: DataFrame, items: DataFrame, min_words: int, share: int
                 exact = sum((codes[at + k] == t.flat[t.offset[item] + place + k]).astype(np.int64) for k in range(WINDOW))
                 strong = np.flatnonzero(exact >= WINDOW - 1)
                 # Windows of one item, diagonal and neighbourhood ask the same.
-                same = np.unique(np.stack([item[strong], at[strong] - place[strong], place[strong] // 4]), axis=1, return_index=True)[1]
+                ask = (item[strong] << 44) + ((at[strong] - place[strong] + (1 << 20)) << 20) + place[strong] // 4
+                same = np.unique(ask, return_index=True)[1]
                 strong = strong[same]
                 strong = strong[promising(t, codes, item[strong], at[strong], place[strong])]
                 for i in np.unique(item[strong]):
