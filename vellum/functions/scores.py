@@ -35,7 +35,7 @@ def clip(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
 
 def recency(year: Column, reference: Column, horizon: int = 10) -> Column:
     """1 in the reference year or later, 0 after ``horizon`` years; null for an unknown year."""
-    return F.greatest(F.lit(0.0), 1.0 - F.greatest(F.lit(0), reference - year) / horizon)
+    return F.when(year.isNotNull() & reference.isNotNull(), F.greatest(F.lit(0.0), 1.0 - F.greatest(F.lit(0), reference - year) / horizon))
 
 
 def evidence_strength(relevance: Column, year: Column, reference: Column, source: Column) -> Column:
