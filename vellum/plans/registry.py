@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from vellum.plans import graph, relational, retrieval
+from vellum.plans import gaps, graph, relational, retrieval, stages, validation
 
-MODULES = [graph, relational, retrieval]
+MODULES = [gaps, graph, relational, retrieval, stages, validation]
 QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
