@@ -226,13 +226,12 @@ def plan(w: Words, target: int, limit: int, overlap: int, min_words: int) -> tup
             if cut > 0:
                 break
         out.append((int(w.start[begin]), int(w.end[cut - 1]), int(w.level[cut]), int(w.to[cut - 1] - base)))
-        fresh = cut
-        begin = cut
+        before, fresh, begin = begin, cut, cut
         if overlap:
             back = int(np.searchsorted(w.at, w.to[cut - 1] - overlap, side="left"))
             while back < cut and w.level[back] == 0 and w.level[cut] > 0:
                 back += 1  # not within a word
-            begin = min(back, cut)
+            begin = min(max(back, before + 1), cut)  # never the whole piece again
             # The next unit must still fit behind the overlap at the level that is needed.
             p = places[max(needed, 0)]
             k = np.searchsorted(p, cut, side="right")
