@@ -351,3 +351,11 @@ def test_solver_against_a_grid():
 
     grid = np.linspace(0, 1, 21)
     assert loss(z) <= min(loss(np.array([x, y, v])) for x in grid for y in grid for v in grid) + 1e-2
+
+
+def test_many_copies_of_a_record_all_match(spark):
+    title = "Wendoral: a registry of alpine weather stations"
+    data = [item("openalex", "W1", title, "10.99/wend.1")] + [item("semantic_scholar", f"s{k:03d}", title, "10.99/wend.1") for k in range(120)]
+    df = spark.createDataFrame(data, "source string, item_id string, title string, abstract string, year int, doi string, fetched_at timestamp")
+    found = linkage.match_records(df).filter("source_a <> source_b and confidence >= 0.5")
+    assert found.count() == 120
