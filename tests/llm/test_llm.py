@@ -323,13 +323,13 @@ LONG = "Read the abstract of work {} which tells of many different things that n
 def test_matches_and_decoys(spark):
     a, b = "openalex", "semantic_scholar"
     data = [
-        item(a, "W1", "The Kelvar study: prenatal blood pressure in coastal towns", "10.99/kelv.1", 2019), item(b, "s1", "(Preprint) The Kelvar sutdy - prenatal blood presure in coastal towns", None, 2018),
-        item(b, "s1b", "THE KELVAR STUDY: PRENATAL BLOOD PRESSURE IN COASTAL TOWNS", "https://doi.org/10.99/KELV.1", 2019),
-        item(b, "s2", "Correction to: The Kelvar study: prenatal blood pressure in coastal towns", "10.99/corr.2", 2019),
+        item(a, "W1", "The Kelvar study: prenatal blood pressure in coastal towns", "10.9900/kelv.1", 2019), item(b, "s1", "(Preprint) The Kelvar sutdy - prenatal blood presure in coastal towns", None, 2018),
+        item(b, "s1b", "THE KELVAR STUDY: PRENATAL BLOOD PRESSURE IN COASTAL TOWNS", "https://doi.org/10.9900/KELV.1", 2019),
+        item(b, "s2", "Correction to: The Kelvar study: prenatal blood pressure in coastal towns", "10.9900/corr.2", 2019),
         item(b, "s3", "The Kelvar study: prenatal blood pressure in coastal towns, Part II", None, 2021),
         item(b, "s4", "The Kelvar study: prenatal blood pressure in mountain villages", None, 2020),
-        item(a, "W5", "Towards reliable ranking of noisy sensors", "10.99/rank.5", 2015, LONG.format("five", "Oslo")), item(b, "s5", "Étude de capteurs en conditions réelles et sur des villes", "10.99/rank.5", 2015, LONG.format("five", "Oslo")),
-        item(a, "W6", "Editorial", "10.99/ed.1", 2001), *[item(b, f"e{k}", "Editorial", f"10.99/ed.{k + 2}", 2003 + k) for k in range(6)],
+        item(a, "W5", "Towards reliable ranking of noisy sensors", "10.9900/rank.5", 2015, LONG.format("five", "Oslo")), item(b, "s5", "Étude de capteurs en conditions réelles et sur des villes", "10.9900/rank.5", 2015, LONG.format("five", "Oslo")),
+        item(a, "W6", "Editorial", "10.9900/ed.1", 2001), *[item(b, f"e{k}", "Editorial", f"10.9900/ed.{k + 2}", 2003 + k) for k in range(6)],
         item(a, "W7", None), item(b, "s7", ""), item(a, "W8", "Only here", "n/a"), item(b, "s8", "Something else entirely about birds", "n/a"),
         item(None, "x", "t"), item(a, None, "t"),
     ]
@@ -355,7 +355,7 @@ def test_solver_against_a_grid():
 
 def test_many_copies_of_a_record_all_match(spark):
     title = "Wendoral: a registry of alpine weather stations"
-    data = [item("openalex", "W1", title, "10.99/wend.1")] + [item("semantic_scholar", f"s{k:03d}", title, "10.99/wend.1") for k in range(120)]
+    data = [item("openalex", "W1", title, "10.9900/wend.1")] + [item("semantic_scholar", f"s{k:03d}", title, "10.9900/wend.1") for k in range(120)]
     df = spark.createDataFrame(data, "source string, item_id string, title string, abstract string, year int, doi string, fetched_at timestamp")
     found = linkage.match_records(df).filter("source_a <> source_b and confidence >= 0.5")
     assert found.count() == 120
