@@ -359,3 +359,35 @@ def test_many_copies_of_a_record_all_match(spark):
     df = spark.createDataFrame(data, "source string, item_id string, title string, abstract string, year int, doi string, fetched_at timestamp")
     found = linkage.match_records(df).filter("source_a <> source_b and confidence >= 0.5")
     assert found.count() == 120
+
+
+def test_pairs_are_found_again_in_a_table_100_times_as_large(spark):
+    schema = "source string, item_id string, title string, abstract string, year int, doi string, fetched_at timestamp"
+    words = "gradual mineral transport through layered coastal sediment under changing tidal pressure".split()
+    typed = [w[:-2] + w[-1] + w[-2] if k in (2, 6, 9) else w for k, w in enumerate(words)]
+    rng = random.Random(5)
+    noise = ["".join(rng.choice("bcdfghjklmnprstvwz") + rng.choice("aeiou") for _ in range(4)) for _ in range(300)]
+
+    def filler(k):  # every word of the pair is frequent among these, two or three at a time
+        w = rng.sample(words, 2) + rng.sample(noise, 7)
+        rng.shuffle(w)
+        return item("openalex", f"f{k:05d}", " ".join(w), None, 2001)
+
+    pair = [item("openalex", "W1", " ".join(words), None, 2010), item("semantic_scholar", "s1", " ".join(typed), None, 2010)]
+    cut = [item("openalex", "W2", "Annual thickness of alpine glacier tongues mapped by drone surveys"), item("semantic_scholar", "s2", "Annual thickness of alpine glacier ...")]
+    for n in (20, 2000):
+        df = spark.createDataFrame(pair + cut + [filler(k) for k in range(n)], schema)
+        found = rows(linkage.match_records(df).filter("source_a <> source_b and confidence >= 0.5").select("item_a", "item_b"))
+        assert found == [("W1", "s1"), ("W2", "s2")]
+
+
+def test_block_keys_meet_whatever_words_are_shared():
+    rng = random.Random(6)
+    vocabulary = [f"{'abcdefghij'[k % 10] * (3 + k % 6)}{k}#1" for k in range(40)]
+    df = {w: 10 + 40 * k for k, w in enumerate(vocabulary)}
+    titles = [sorted((df[w], w) for w in rng.sample(vocabulary, rng.randint(3, 9))) for _ in range(200)]
+    keys = [{h for h, _ in linkage.block_keys(t, 0.45, 2000, 40, "")} for t in titles]
+    size = lambda t: sum(len(w.split("#")[0]) for _, w in t)
+    for (t, k), (u, m) in combinations(zip(titles, keys), 2):
+        if size(set(t) & set(u)) >= 0.45 * max(size(t), size(u)):
+            assert k & m
