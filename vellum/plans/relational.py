@@ -108,17 +108,27 @@ def title_author_year_key(spark, d):
     return t.select("item_id", key.alias("key")).filter("key is not null").distinct()
 
 
+def title_author_year_key_whole(spark, d):
+    """Titles in any script; the query without _whole keeps to its SQL's ASCII titles."""
+    t = table(spark, d, "external_items")
+    key = T.title_key(F.col("title"), F.array().cast("array<string>"), F.col("year"))
+    return t.select("item_id", key.alias("key")).filter("key is not null").distinct()
+
+
 def upsert_by_doi(spark, d):
     return I.upsert_by_doi(table(spark, d, "external_items"), F.col("fetched_at")).filter("doi_key is not null")
 
 
-def _items(spark, d):
+def _all_items(spark, d):
     t = table(spark, d, "external_items")
     one = t.groupBy("item_id").agg(F.max("title").alias("title"), F.max("year").alias("year"), F.max(T.doi_key(F.col("doi"))).alias("doi"), F.max("abstract").alias("abstract"))
-    one = one.filter("title rlike '^[ -~]*$' and (doi is null or doi rlike '^10[.][0-9]+/[^ ]{6,}$')")
     return one.withColumn("authors", F.array().cast("array<string>"))
 
 
+def _items(spark, d):
+    return _all_items(spark, d).filter("title rlike '^[ -~]*$' and (doi is null or doi rlike '^10[.][0-9]+/[^ ]{6,}$')")
+
+
 def exact_dedup_components(spark, d):
     return I.deduplicate(_items(spark, d), "item_id").select("item_id", "canonical")
 
@@ -127,6 +137,14 @@ def dedup_merged_fields(spark, d):
     return I.merge_fields(I.deduplicate(_items(spark, d), "item_id"), ["title", "year", "abstract"], "item_id")
 
 
+def exact_dedup_components_whole(spark, d):
+    return I.deduplicate(_all_items(spark, d), "item_id").select("item_id", "canonical")
+
+
+def dedup_merged_fields_whole(spark, d):
+    return I.merge_fields(I.deduplicate(_all_items(spark, d), "item_id"), ["title", "year", "abstract"], "item_id")
+
+
 def newest_mentions(spark, d):
     t = newest(table(spark, d, "kg_mentions").select("run_id", "chunk_id", "entity_id", "mention_count", "tagged_at"), ["run_id", "chunk_id", "entity_id"], "tagged_at")
     return t.filter("mention_count >= 1").groupBy("run_id").agg(F.count("*").alias("mentions"), F.sum("mention_count").cast("long").alias("total"))
@@ -142,6 +160,11 @@ def distinct_case_insensitive(spark, d):
     return t.groupBy("key").agg(F.min("title").alias("title"), F.count("*").alias("rows"))
 
 
+def distinct_case_insensitive_whole(spark, d):
+    t = table(spark, d, "external_items").select(F.lower(F.trim(F.regexp_replace("title", r"\s+", " "))).alias("key"), "title").filter("title <> ''")
+    return t.groupBy("key").agg(F.min("title").alias("title"), F.count("*").alias("rows"))
+
+
 def id_set_except(spark, d):
     a = table(spark, d, "chunk_embeddings").select("paper_id")
     b = table(spark, d, "sections").select("paper_id")
@@ -159,13 +182,20 @@ def chunk_diagnostics(spark, d):
     return t.groupBy("section_type").agg(F.count("*").alias("n"), F.min(size).alias("least"), F.max(size).alias("most"), F.round(F.avg(size), 6).alias("mean"))
 
 
-def abstract_from_inverted_index(spark, d):
-    t = table(spark, d, "documents").filter("text is not null and length(text) between 1 and 2000")
+def _from_inverted_index(t):
     words = t.select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", r"[ \t\r\n\f\x0B]+", " ")), " ")).alias("p", "w"))
     index = words.groupBy("doc_id", "w").agg(F.sort_array(F.collect_list("p")).alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
     return index.select("doc_id", F.md5(T.inverted_index_text(F.col("index"))).alias("digest"))
 
 
+def abstract_from_inverted_index(spark, d):
+    return _from_inverted_index(table(spark, d, "documents").filter("text is not null and length(text) between 1 and 2000"))
+
+
+def abstract_from_inverted_index_whole(spark, d):
+    return _from_inverted_index(table(spark, d, "documents").filter("length(text) > 0"))
+
+
 def heading_normalise(spark, d):
     t = table(spark, d, "sections").filter("title is not null").select("title").distinct()
     return t.select("title", T.heading(F.col("title")).alias("heading"))
@@ -248,7 +278,8 @@ QUERIES = {
         corpus_health_counts, runs_paper_counts, multi_source_having, section_type_counts, weighted_mean_null_skip, status_artifact_full_outer, doi_normalise, title_author_year_key,
         upsert_by_doi, exact_dedup_components, dedup_merged_fields, newest_mentions, collection_caps, distinct_case_insensitive, id_set_except, sentence_split_counts, chunk_diagnostics,
         abstract_from_inverted_index, heading_normalise, section_classify, parent_section, statement_jaccard_neardup, job_event_status, latest_job_state, cache_ttl, counts_by_year,
-        top_per_group, region_revenue,
+        top_per_group, region_revenue, title_author_year_key_whole, exact_dedup_components_whole, dedup_merged_fields_whole, distinct_case_insensitive_whole,
+        abstract_from_inverted_index_whole,
     )
 }
 ORACLES = {

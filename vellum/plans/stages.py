@@ -53,13 +53,18 @@ def page_snippets(spark, d):
     return t.select("section_id", T.snippet(F.col("text"), 200).alias("snippet"), T.page_range(F.col("page_start"), F.col("page_end")).alias("pages"))
 
 
+def page_snippets_whole(spark, d):
+    t = table(spark, d, "sections").dropDuplicates(["section_id"]).filter("text is not null")
+    return t.select("section_id", T.snippet(F.col("text"), 200).alias("snippet"), T.page_range(F.col("page_start"), F.col("page_end")).alias("pages"))
+
+
 def statement_keywords(spark, d):
     t = table(spark, d, "test_items")
     return t.select("item_id", F.array_join(T.keywords(F.col("text"), T.STOP_WORDS, 6), " ").alias("keywords"))
 
 
 STOP_SQL = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-QUERIES = {f.__name__: f for f in (chunker, section_bodies, canonical_entities, stream_incremental, event_sessions, page_snippets, statement_keywords)}
+QUERIES = {f.__name__: f for f in (chunker, section_bodies, canonical_entities, stream_incremental, event_sessions, page_snippets, page_snippets_whole, statement_keywords)}
 ORACLES = {
     "section_bodies": """WITH l AS (SELECT doc_id AS paper_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
 s AS (SELECT *, starts_with(text, '#') AS h, sum(starts_with(text, '#')::INT) OVER (PARTITION BY paper_id ORDER BY i) AS section FROM l)
