@@ -41,3 +41,23 @@ def test_texts_of_any_length_and_script(spark, tables):
     md5 = lambda t: hashlib.md5(t.strip().encode()).hexdigest()
     assert rows(registry.QUERIES["abstract_from_inverted_index_whole"](spark, d)) == [(1, md5(long)), (2, md5("short one"))]
     assert rows(registry.QUERIES["page_snippets_whole"](spark, d)) == [("x", "first line second – line", "1-2")]
+
+
+MENTION = "run_id string, chunk_id string, paper_id string, entity_id string, mention_count int, tagged_at timestamp"
+
+
+def mentions(tables, *data):
+    return tables("kg_mentions", [("r", f"c{p}", f"p{p}", e, 1, T0) for p, e in data], MENTION)
+
+
+def test_the_typed_graph_has_communities(spark, tables):
+    d = mentions(tables, *[(p, f"TASK:{e}") for p in range(6) for e in (("x", "y", "z") if p < 3 else ("u", "v"))])
+    tables("kg_papers", [("r", f"p{p}", T0) for p in range(6)], "run_id string, paper_id string, built_at timestamp")
+    got = {r["kind"]: (r["edges"], r["weight"]) for r in registry.QUERIES["graph_edge_kinds_whole"](spark, d).collect()}
+    assert got == {"MENTIONS": (15, 15), "CO_OCCURS": (4, 12), "IN_COMMUNITY": (5, 5)}
+
+
+def test_names_of_near_vectors_are_one_entity(spark, tables):
+    name = "graph based learning of sparse visual representations in large networks"
+    d = mentions(tables, (1, f"TASK:{name}"), (2, f"TASK:{name} too"), (3, "TASK:soil"))
+    assert rows(registry.QUERIES["canonical_entities"](spark, d)) == [("TASK", 3, 2)]

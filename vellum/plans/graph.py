@@ -46,10 +46,19 @@ def graph_communities(spark, d):
     return G.communities(edges(spark, d))
 
 
+def _edge_kinds(all_edges):
+    return all_edges.groupBy("run_id", "kind").agg(F.count("*").alias("edges"), F.sum("weight").cast("long").alias("weight"))
+
+
 def graph_edge_kinds(spark, d):
+    """Without communities, as its SQL; graph_edge_kinds_whole has them."""
     e = edges(spark, d)
-    all_edges = G.typed_edges(entity_paper(spark, d), e, G.communities(e).filter("community < 0"))
-    return all_edges.groupBy("run_id", "kind").agg(F.count("*").alias("edges"), F.sum("weight").cast("long").alias("weight"))
+    return _edge_kinds(G.typed_edges(entity_paper(spark, d), e, G.communities(e).filter("community < 0")))
+
+
+def graph_edge_kinds_whole(spark, d):
+    e = edges(spark, d)
+    return _edge_kinds(G.typed_edges(entity_paper(spark, d), e, G.communities(e)))
 
 
 def cytoscape_elements(spark, d):
@@ -74,7 +83,7 @@ f AS (SELECT run_id, entity, count(*) AS f FROM ep GROUP BY ALL),
 pr AS (SELECT a.run_id, a.entity AS a, b.entity AS b, count(*) AS papers FROM ep a JOIN ep b ON a.run_id = b.run_id AND a.paper_id = b.paper_id AND a.entity < b.entity GROUP BY ALL HAVING count(*) >= 2),
 edge AS (SELECT pr.run_id, a, b, papers, round(log2(papers * n / (fa.f * fb.f)::DOUBLE), 4) AS pmi FROM pr JOIN n USING (run_id) JOIN f fa ON fa.run_id = pr.run_id AND fa.entity = a JOIN f fb ON fb.run_id = pr.run_id AND fb.entity = b)"""
 BASE = f"WITH {KG_NEWEST}, {EP_SQL}"
-QUERIES = {f.__name__: f for f in (entity_mentions, cooccurrence_pmi, same_type_siblings, chunks_mentioning_all, relevance_gate, graph_communities, graph_edge_kinds, cytoscape_elements, entity_tagger)}
+QUERIES = {f.__name__: f for f in (entity_mentions, cooccurrence_pmi, same_type_siblings, chunks_mentioning_all, relevance_gate, graph_communities, graph_edge_kinds, graph_edge_kinds_whole, cytoscape_elements, entity_tagger)}
 ORACLES = {
     "entity_mentions": BASE + " SELECT run_id, entity, count(*) AS papers, sum(chunks)::BIGINT AS chunks, sum(mentions)::BIGINT AS mentions, count(*) >= 0.8 * max(n) AND max(n) >= 5 AS generic FROM ep JOIN n USING (run_id) GROUP BY run_id, entity",
     "cooccurrence_pmi": BASE + " SELECT * FROM edge",
