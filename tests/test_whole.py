@@ -1,7 +1,9 @@
 """Queries over all rows, of which those compared with SQL see only a part."""
 
 import hashlib
+import random
 from datetime import datetime
+from itertools import combinations
 
 import pytest
 
@@ -61,3 +63,27 @@ def test_names_of_near_vectors_are_one_entity(spark, tables):
     name = "graph based learning of sparse visual representations in large networks"
     d = mentions(tables, (1, f"TASK:{name}"), (2, f"TASK:{name} too"), (3, "TASK:soil"))
     assert rows(registry.QUERIES["canonical_entities"](spark, d)) == [("TASK", 3, 2)]
+
+
+def test_near_duplicate_statements_need_no_doi(spark, tables):
+    ten = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    d = items(tables, ("a", ten, 2020, None), ("b", ten.upper(), 2021, "10.1/abcdef"), ("c", ten.replace("alpha", "omega"), 2020, None), ("d", "alpha beta", 2020, None), *[(f"f{k:02d}", "Same words", 2020, "10.1/sharedxx") for k in range(60)])
+    got = rows(registry.QUERIES["statement_jaccard_neardup_whole"](spark, d))
+    assert got == sorted([("a", "b", 1.0), ("a", "c", round(9 / 11, 6)), *[("f00", f"f{k:02d}", 1.0) for k in range(1, 60)]])
+
+
+def test_near_duplicates_equal_brute_force(spark, tables):
+    rng = random.Random(2)
+    titles = [rng.sample("abcdefghijkl", rng.randint(1, 11)) for _ in range(120)]
+    d = items(tables, *[(f"i{k:03d}", " ".join(f"word{w}" for w in t), 2020, None) for k, t in enumerate(titles)])
+    first = {}
+    for k, t in enumerate(titles):
+        first.setdefault(frozenset(t), f"i{k:03d}")
+    want = {(first[frozenset(t)], f"i{k:03d}") for k, t in enumerate(titles) if first[frozenset(t)] != f"i{k:03d}"}
+    want |= {(min(i, j), max(i, j)) for (s, i), (t, j) in combinations(first.items(), 2) if 5 * len(s & t) >= 4 * len(s | t)}
+    assert {(r[0], r[1]) for r in rows(registry.QUERIES["statement_jaccard_neardup_whole"](spark, d))} == want
+
+
+def test_hosts_of_many_neighbours(spark, tables):
+    d = tables("kg_edges", [("r", "hub", f"n{k:02d}", 3, T0) for k in range(60)], "run_id string, a string, b string, papers int, built_at timestamp")
+    assert rows(registry.QUERIES["detector_hosts_whole"](spark, d)) == [("r", f"hub~n{k:02d}", "hub") for k in range(60)]

@@ -29,14 +29,23 @@ def external_coverage(spark, d):
     return E.external_coverage(table(spark, d, "documents").select("text"), GAPS)
 
 
-def detector_hosts(spark, d):
-    """Edges of three papers host the pairs of one type; a pair joins the first host that contains or resembles it."""
+def _hosts(spark, d, neighbours):
     e = newest(table(spark, d, "kg_edges").distinct(), ["run_id", "a", "b"], "built_at").select(F.col("run_id").alias("grp"), F.concat_ws("~", "a", "b").alias("name"), F.array("a", "b").alias("ab"), "papers", "a", "b")
     near = e.select("grp", F.col("a").alias("x"), "b").groupBy("grp", "x").agg(F.array_sort(F.collect_set("b")).alias("bs"))
-    hosts = near.filter(F.size("bs").between(1, 50)).select("grp", F.col("x").alias("host"), F.col("x").alias("place"), F.array_union(F.array("x"), "bs").alias("core"))
+    hosts = near.filter(neighbours).select("grp", F.col("x").alias("host"), F.col("x").alias("place"), F.array_union(F.array("x"), "bs").alias("core"))
     return E.host_of(e.filter("papers >= 3").select("grp", F.col("name").alias("guest"), F.col("ab").alias("concepts")), hosts)
 
 
+def detector_hosts(spark, d):
+    """Edges of three papers host the pairs of one type; a pair joins the first host that contains or resembles it."""
+    return _hosts(spark, d, F.size("bs").between(1, 50))
+
+
+def detector_hosts_whole(spark, d):
+    """The same with hosts of any number of neighbours."""
+    return _hosts(spark, d, F.size("bs") >= 1)
+
+
 def addressed_later(spark, d):
     """For each stored pair of a run: later papers whose chunk mentions both, after the pair's first paper year."""
     years = newest(table(spark, d, "kg_papers").select("run_id", "paper_id", "built_at", "publication_year"), ["run_id", "paper_id"], "built_at").filter("publication_year > 0").select("run_id", "paper_id", F.col("publication_year").alias("year"))
@@ -62,7 +71,7 @@ def _coverage_sql() -> str:
     return f"SELECT *, round(joint / greatest(1, smallest)::DOUBLE, 4) AS coverage FROM ({' UNION ALL '.join(parts)})"
 
 
-QUERIES = {f.__name__: f for f in (result_claims, statement_rejections, external_coverage, detector_hosts, addressed_later)}
+QUERIES = {f.__name__: f for f in (result_claims, statement_rejections, external_coverage, detector_hosts, detector_hosts_whole, addressed_later)}
 ORACLES = {
     "result_claims": ENGLISH
     + f""", c AS (SELECT DISTINCT doc_id, sentence, CASE WHEN regexp_matches(sentence, '{E.POSITIVE}') AND regexp_matches(sentence, '{E.NEGATIVE}') THEN 'MIXED' WHEN regexp_matches(sentence, '{E.POSITIVE}') THEN 'POSITIVE' WHEN regexp_matches(sentence, '{E.NEGATIVE}') THEN 'NEGATIVE' END AS direction

@@ -9,6 +9,7 @@ from vellum.functions import scores as S
 from vellum.functions import text as T
 from vellum.operators import ingest as I
 from vellum.plans.retrieval import NOISE_SQL
+from vellum.session import materialise
 from vellum.sources.tables import fresh, newest, table
 
 
@@ -220,6 +221,30 @@ def statement_jaccard_neardup(spark, d):
     return j.filter("jaccard >= 0.8").select("item_id", "item_b", "jaccard")
 
 
+def statement_jaccard_neardup_whole(spark, d):
+    """Pairs of all items, whatever their DOI, whose titles' terms have a Jaccard of 0.8 or more.
+
+    Items of equal terms are one class: its least item is paired with each other one, and stands for all in
+    the pairs with other classes. Sets that are that near share one of their rarest terms: of n terms, one of
+    the rarest n - ceil(0.8 n) + 1. No term is dropped for being frequent.
+    """
+    t = _all_items(spark, d).select("item_id", F.array_sort(T.statement_terms(F.col("title"))).alias("terms")).filter(F.size("terms") > 0)
+    first = t.groupBy("terms").agg(F.min("item_id").alias("first"))
+    t = materialise(t.join(first, "terms"), "statements")
+    equal = t.filter("item_id <> first").select(F.col("first").alias("item_id"), F.col("item_id").alias("item_b"), F.lit(1.0).alias("jaccard"))
+    one = t.filter("item_id = first").select("item_id", "terms")
+    words = one.select("item_id", F.explode("terms").alias("w"))
+    ranked = words.join(words.groupBy("w").agg(F.count("*").alias("n")), "w").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ranked"))
+    size = F.size("ranked")
+    rare = F.slice("ranked", F.lit(1), size - F.ceil(size * 4 / 5 - 1e-9).cast("int") + 1)
+    keyed = ranked.select("item_id", F.explode(rare).alias("key"), size.alias("size"))
+    a, b = keyed.select("item_id", F.col("key.w").alias("w"), "size"), keyed.select(F.col("item_id").alias("item_b"), F.col("key.w").alias("w"), F.col("size").alias("size_b"))
+    pairs = a.join(b, "w").filter("item_id < item_b and 5 * least(size, size_b) >= 4 * greatest(size, size_b)").select("item_id", "item_b").distinct()
+    pairs = pairs.join(one, "item_id").join(one.select(F.col("item_id").alias("item_b"), F.col("terms").alias("terms_b")), "item_b")
+    near = pairs.withColumn("jaccard", F.round(T.jaccard(F.col("terms"), F.col("terms_b")), 6)).filter("jaccard >= 0.8")
+    return near.select("item_id", "item_b", "jaccard").unionByName(equal)
+
+
 def job_event_status(spark, d):
     t = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     return t.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").cast("long").alias("k"), F.count_distinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("value"))
@@ -279,7 +304,7 @@ QUERIES = {
         upsert_by_doi, exact_dedup_components, dedup_merged_fields, newest_mentions, collection_caps, distinct_case_insensitive, id_set_except, sentence_split_counts, chunk_diagnostics,
         abstract_from_inverted_index, heading_normalise, section_classify, parent_section, statement_jaccard_neardup, job_event_status, latest_job_state, cache_ttl, counts_by_year,
         top_per_group, region_revenue, title_author_year_key_whole, exact_dedup_components_whole, dedup_merged_fields_whole, distinct_case_insensitive_whole,
-        abstract_from_inverted_index_whole,
+        abstract_from_inverted_index_whole, statement_jaccard_neardup_whole,
     )
 }
 ORACLES = {
