@@ -391,3 +391,21 @@ def test_block_keys_meet_whatever_words_are_shared():
     for (t, k), (u, m) in combinations(zip(titles, keys), 2):
         if size(set(t) & set(u)) >= 0.45 * max(size(t), size(u)):
             assert k & m
+
+
+def test_edits_count_alike_near_both_ends_of_a_passage(spark):
+    item_words = np.arange(100, 112)
+    for edits in [*combinations(range(1, 11), 1), *combinations(range(1, 11), 2)]:
+        doc = item_words.copy()
+        doc[list(edits)] = -7
+        doc = np.concatenate([np.full(9, -3), doc, np.full(9, -3)])
+        assert leakage.leaks(item_words, doc, 0, np.array([9])), edits
+    for edits in combinations(range(1, 11), 3):  # more than about one in eight
+        doc = item_words.copy()
+        doc[list(edits)] = -7
+        assert not leakage.leaks(item_words, doc, 0, np.array([0])), edits
+    words = "gradual mineral transport through layered coastal sediment under changing tidal pressure gradients".split()
+    texts = [(k, "we note that " + " ".join("zebra" if i == k else w for i, w in enumerate(words)) + " in all of it") for k in range(1, 11)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    items = spark.createDataFrame([(1, "s", " ".join(words))], "item_id long, suite string, text string")
+    assert rows(leakage.leaked_items(docs, items)) == [(k, 1) for k in range(1, 11)]

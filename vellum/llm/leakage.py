@@ -142,6 +142,39 @@ def leaks(item: np.ndarray, doc: np.ndarray, lead: int, seeds: np.ndarray, min_w
             if ((span >= min_words) & (own * 2 >= min_words) & ((new_g[ends] + 1) * share >= span * (share - 1))).any():
                 return True
         score, begin, good = new_s, new_b, new_g
+    return _from_any_begin(item, part, lead, min_words, share)
+
+
+def _from_any_begin(item: np.ndarray, part: np.ndarray, lead: int, min_words: int, share: int) -> bool:
+    """The same question for every begin at which words begin to agree: an edit close behind the begin of a
+    passage, which makes the alignment above begin anew, costs what it costs close before its end."""
+    n, m = len(item), len(part)
+    same = item[:, None] == part
+    fresh = same.copy()
+    fresh[1:, 1:] &= ~same[:-1, :-1]  # an agreeing word before a begin only helps
+    begins = np.flatnonzero(fresh[: n - min_words + 1].any(1))
+    if not len(begins):
+        return False
+    low = -(1 << 20)
+    score, good = np.full((len(begins), m + 1), low, np.int64), np.zeros((len(begins), m + 1), np.int64)
+    for i in range(int(begins[0]), n):
+        new_s, new_g = np.full_like(score, low), np.zeros_like(good)
+        new_s[:, 1:] = score[:, :-1] + np.where(same[i], 1, -2)
+        new_g[:, 1:] = good[:, :-1] + same[i]
+        use = score - 2 > new_s  # an item word left out
+        new_s[use], new_g[use] = score[use] - 2, good[use]
+        for _ in range(2):  # up to two words added in a row
+            use = new_s[:, :-1] - 2 > new_s[:, 1:]
+            new_s[:, 1:] = np.where(use, new_s[:, :-1] - 2, new_s[:, 1:])
+            new_g[:, 1:] = np.where(use, new_g[:, :-1], new_g[:, 1:])
+        k = int(np.searchsorted(begins, i))
+        if k < len(begins) and begins[k] == i:
+            new_s[k, 1:], new_g[k, 1:] = np.where(fresh[i], 1, low), fresh[i]
+        span, own = i - begins + 1, i + 1 - np.maximum(begins, lead)
+        fits = (span >= min_words) & (own * 2 >= min_words)
+        if fits.any() and (same[i] & (new_s[:, 1:] > 0) & fits[:, None] & ((new_g[:, 1:] + 1) * share >= (span * (share - 1))[:, None])).any():
+            return True
+        score, good = new_s, new_g
     return False
 
 
