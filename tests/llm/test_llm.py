@@ -409,3 +409,19 @@ def test_edits_count_alike_near_both_ends_of_a_passage(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     items = spark.createDataFrame([(1, "s", " ".join(words))], "item_id long, suite string, text string")
     assert rows(leakage.leaked_items(docs, items)) == [(k, 1) for k in range(1, 11)]
+
+
+def test_tails_of_rare_pairs_stay_exact_beside_a_frequent_one():
+    p, n_size = np.array([[1e-4], [2e-3], [0.42]]), np.array([6000])
+    got = cooccurrence.upper_tails(p, n_size, np.array([3, 20, 2600]))
+    for q, least, tail in zip(p[:2, 0], (3, 20), got):
+        below = sum(math.exp(math.lgamma(6001) - math.lgamma(k + 1) - math.lgamma(6001 - k) + k * math.log(q) + (6000 - k) * math.log1p(-q)) for k in range(least))
+        assert math.isclose(tail, 1 - below, rel_tol=1e-6)
+    assert 0 < got[2] < 0.05
+    assert np.array_equal(got[:2], cooccurrence.upper_tails(p[:2], n_size, np.array([3, 20])))
+
+
+def test_every_pair_has_its_surprise(spark, sf):
+    got = cooccurrence.p3_pairs(spark, sf).toPandas()
+    assert list(got.columns) == ["run_id", "entity_a", "entity_b", "n_ab", "expected", "p_value", "q_value"]
+    assert len(got) and got.n_ab.min() >= 1 and got.notna().all().all() and got.p_value.between(0, 1).all() and (got.q_value >= got.p_value - 1e-12).all()

@@ -77,10 +77,14 @@ def fit_null(degree: np.ndarray, n_degree: np.ndarray, size: np.ndarray, n_size:
 
 
 def upper_tails(p: np.ndarray, n_size: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """P(X >= least[i]) of Poisson-binomial X with n_size[k] trials of probability p[i, k]."""
+    """P(X >= least[i]) of Poisson-binomial X with n_size[k] trials of probability p[i, k]; each by itself exact up to LONGEST_EXACT."""
     out = np.ones(len(p))
+    large = least > LONGEST_EXACT
+    if large.any() and not large.all():
+        out[large], out[~large] = upper_tails(p[large], n_size, least[large]), upper_tails(p[~large], n_size, least[~large])
+        return out
     top = int(min(least.max(initial=0) + 40, n_size.sum()))
-    if least.max(initial=0) > LONGEST_EXACT:
+    if large.any():
         mean, var = p @ n_size, (p * (1 - p)) @ n_size
         sd = np.sqrt(np.maximum(var, 1e-300))
         z = (least - 0.5 - mean) / sd
@@ -267,9 +271,19 @@ def paper_baskets(mentions: DataFrame, entities: DataFrame, papers: DataFrame) -
     return baskets.join(n, "grp").select("grp", "n", "items")
 
 
-def p3_found(spark, sf_dir: str) -> DataFrame:
+def _pairs(spark, sf_dir: str) -> DataFrame:
     mentions, entities, papers = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("kg_mentions", "kg_entities", "kg_papers"))
-    pairs = pairs_in_groups(paper_baskets(mentions, entities, papers))
+    return pairs_in_groups(paper_baskets(mentions, entities, papers))
+
+
+def p3_pairs(spark, sf_dir: str) -> DataFrame:
+    """Every pair that occurs together, with its surprise."""
+    pairs = _pairs(spark, sf_dir)
+    return pairs.select(F.col("grp").alias("run_id"), F.col("item_a").alias("entity_a"), F.col("item_b").alias("entity_b"), "n_ab", "expected", "p_value", "q_value")
+
+
+def p3_found(spark, sf_dir: str) -> DataFrame:
+    pairs = _pairs(spark, sf_dir)
     enough = (F.col("n_ab") >= 3) & (F.col("n_ab") * F.col("n") >= 2 * F.col("n_a") * F.col("n_b"))
     return pairs.filter(enough).select(F.col("grp").alias("run_id"), F.col("item_a").alias("entity_a"), F.col("item_b").alias("entity_b"))
 

@@ -15,6 +15,7 @@ QUERIES = {
     "p5_found": clustering.p5_found,
     "p5_clusters": clustering.p5_clusters,
     "p3_found": cooccurrence.p3_found,
+    "p3_pairs": cooccurrence.p3_pairs,
     "p2_found": neighbours.p2_found,
     "p6_ids": tokenizing.p6_ids,
 }
