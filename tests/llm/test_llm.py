@@ -425,3 +425,12 @@ def test_every_pair_has_its_surprise(spark, sf):
     got = cooccurrence.p3_pairs(spark, sf).toPandas()
     assert list(got.columns) == ["run_id", "entity_a", "entity_b", "n_ab", "expected", "p_value", "q_value"]
     assert len(got) and got.n_ab.min() >= 1 and got.notna().all().all() and got.p_value.between(0, 1).all() and (got.q_value >= got.p_value - 1e-12).all()
+
+
+def test_default_margin_loses_no_link_between_many_cells(spark):
+    turn = np.linspace(0, 2 * np.pi, 400, endpoint=False)  # a thin ring: every link points across the borders
+    u = np.stack([np.cos(turn), np.sin(turn)], axis=1)
+    df = spark.createDataFrame([(f"p{i:03d}", bytearray(v.tobytes())) for i, v in enumerate(u)], "paper_id string, vec binary")
+    links = (u @ u.T >= 0.7).sum(1) - 1
+    got = clustering.density_clusters(df, "paper_id", 2, reduced=2, cell_rows=20).collect()
+    assert len(got) == 400 and all(r["links"] == links[int(r["paper_id"][1:])] for r in got)
