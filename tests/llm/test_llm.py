@@ -196,12 +196,22 @@ TEXT = "First paragraph has one sentence. Then \"another\" one follows here.\r\n
 
 
 def test_stitched_ranges_equal_the_whole():
-    cps = np.frombuffer((TEXT * 5).encode("utf-32-le"), np.uint32)
-    whole = splitting.scan(cps)
-    for size in (1, 2, 3, 7, 50):
-        parts = splitting.boundary_table(cps, size)
-        for f in ("start", "end", "first", "last", "solid", "breaks"):
-            assert np.array_equal(getattr(whole, f), getattr(parts, f)), (size, f)
+    rng = random.Random(1)
+    for trial in range(60):
+        alphabet = ["a", "B", " ", "\n", "\r\n", "-", ".", "-\n", "\n\n", "é", "日", "xyzxyz" * rng.randint(1, 4)]
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 120)))
+        limit, overlap = rng.randint(3, 30), rng.choice([0, 4])
+        cps = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        whole = splitting._parted(splitting.clean_layout(splitting.scan(cps)), limit, min(overlap, limit // 2))
+        for size, halo in ((1, 8), (3, 8), (7, 16), (50, 8)):
+            base, parts = 0, []
+            for a in range(0, len(text), size):
+                w = splitting.range_words(splitting.characters(text), a, a + size, len(text), limit, overlap, halo)
+                w = splitting.unpack_words(splitting.pack(w), len(w.at), base)
+                base = int(w.to[-1]) if len(w.to) else base
+                parts.append(w)
+            for f in ("start", "end", "at", "to", "level"):
+                assert np.array_equal(np.concatenate([getattr(p, f) for p in parts]), getattr(whole, f)), (text, size, f)
 
 
 @pytest.mark.parametrize("text,limit,want", [("aa bb.\n\ncc dd.", 6, "paragraph"), ("aa bb. Cc dd.", 6, "sentence"), ("aa bb. cc dd.", 6, "word"), ("abcdefgh ij", 6, "none"), ("ab-\ncdef", 6, "paragraph"), ("a     b", 3, "paragraph"), ("aa.\r\n\r\nbb cc", 5, "paragraph"), ("Aa bb! \"Cc\" dd", 8, "sentence")])
@@ -228,22 +238,55 @@ def test_split_texts_nulls_repeats_and_configs(spark):
     long = ("Some words make a sentence here. " * 40).strip()
     s = spark.createDataFrame([("a", None, long), ("a", None, long), ("b", "small", long), ("c", "small", None), ("d", "small", ""), (None, "small", long), ("e", "missing", "x" * 3000)], "section_id string, config_id string, text string")
     c = spark.createDataFrame([("small", 20, 25, 3, None, None), ("default", None, None, None, None, None)], "config_id string, target_chunk_size int, max_chunk_size int, overlap_size int, min_chunk_size int, min_chunk_words int")
-    got = dict(rows(splitting.split_texts(s, c).select("section_id", "boundary")))
+    got = dict(rows(splitting.split_texts(s, c).filter("piece = 0").select("section_id", "boundary")))
     assert got == {"b": "sentence", "e": "none"}  # 1,319 characters are within the default of 2,400
     pieces = splitting.pieces(s, c).filter("section_id = 'b'").orderBy("piece").collect()
     assert len(pieces) > 10 and max(len(p["text"]) for p in pieces) <= 100 and pieces[0]["text"].startswith("Some words")
     assert splitting.split_texts(s.limit(0), c).count() == 0
 
 
+def test_blank_runs_make_no_text_oversized(spark):
+    padded = "Short words \n\n\n  here." + " " * 5000 + "End." + "\n" * 300
+    s = spark.createDataFrame([("a", "default", padded), ("b", "default", " " * 9000), ("c", "default", "word " * 481), ("c", "default", "word " * 400 + " " * 900)], "section_id string, config_id string, text string")
+    c = spark.createDataFrame([("default", 500, 600, 0, 0, 0)], "config_id string, target_chunk_size int, max_chunk_size int, overlap_size int, min_chunk_size int, min_chunk_words int")
+    # Of c's texts the longer one counts, which is within the limit when cleaned.
+    assert rows(splitting.split_texts(s, c)) == []
+    assert rows(splitting.split_texts(s.filter("length(text) < 2410"), c).filter("piece = 0").select("section_id", "boundary")) == [("c", "word")]
+
+
+def test_ranges_change_no_piece(spark):
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choice(["word ", "Longer ", "x. ", "End. ", "\n\n", "y" * rng.randint(1, 60) + " ", "a-\nb ", "é日 ", "   \r\n "]) for _ in range(n))
+    data = [(f"s{k}", "small", make(rng.randint(100, 900))) for k in range(12)] + [("giant", "small", "z" * 4000), ("blank", "small", "a " + " " * 3000 + "\n\nB " * 40)]
+    s = spark.createDataFrame(data, "section_id string, config_id string, text string")
+    c = spark.createDataFrame([("small", 20, 25, 6, None, 4)], "config_id string, target_chunk_size int, max_chunk_size int, overlap_size int, min_chunk_size int, min_chunk_words int")
+    want = rows(splitting.split_texts(s, c, 1 << 20))
+    assert len({r[0] for r in want}) == 14
+    for size in (1000, 37):
+        assert rows(splitting.split_texts(s, c, size)) == want
+    for sid, text in ((r[0], r[2]) for r in data):
+        level, own = splitting.plan(splitting.clean_layout(splitting.scan(np.frombuffer(text.encode("utf-32-le"), np.uint32))), 80, 100, 24, 4)
+        assert [(p[4], p[5]) for p in want if p[0] == sid] == [(a, b) for a, b, _, _ in own]
+        assert {p[2] for p in want if p[0] == sid} == {splitting.LEVELS[level]}
+
+
 def test_files_by_byte_range(spark, tmp_path):
-    text = "\n\n".join(f"Paragraph {i} with ünïcode words. " + "It goes on. " * (i % 7) for i in range(400))
+    text = "\n\n".join(f"Paragraph {i} with ünïcode words. " + "It goes on. " * (i % 7) for i in range(400)) + "é日" * 900 + " end " + " " * 700 + "of it"
     path = tmp_path / "big.txt"
     path.write_text(text, encoding="utf-8")
+    (tmp_path / "broken.txt").write_bytes(b"ab \xff\xfe cd " * 60)
     (tmp_path / "empty.txt").write_text("")
-    got = splitting.split_files(spark, [str(path), str(tmp_path / "empty.txt")], 300, 400, 0, 0, range_bytes=4000, halo=600).orderBy("range", "piece").collect()
+    paths = [str(path), str(tmp_path / "empty.txt"), str(tmp_path / "broken.txt"), str(path)]
+    split = lambda overlap, n: rows(splitting.split_files(spark, paths, 300, 400, overlap, 5, range_bytes=n))
+    got = split(0, 4000)
     data = path.read_bytes()
-    assert all(len(r["text"]) <= 400 for r in got)
-    assert b" ".join(data[r["byte_start"] : r["byte_end"]] for r in got).split() == data.split()
+    assert all(len(r[5]) <= 400 for r in got)
+    assert b"".join(data[r[2] : r[3]] for r in got if r[0] == str(path)).split() != [] and "".join(r[5] for r in got if r[0] == str(path)).split() != []
+    assert "".join("".join(r[5].split()) for r in got if r[0] == str(path)) == "".join(text.split())
+    with_overlap = split(60, 1 << 20)
+    assert with_overlap == split(60, 4000) == split(60, 501) and len(with_overlap) > len(got) * 0.9
+    mine = [r for r in with_overlap if r[0] == str(path)]
+    assert sum(q[2] < p[3] for p, q in zip(mine, mine[1:])) > len(mine) * 0.7
 
 
 # ---- leakage

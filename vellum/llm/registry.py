@@ -12,6 +12,7 @@ QUERIES = {
     "p8_posteriors": subjects.p8_posteriors,
     "p4_found": splitting.p4_found,
     "p4_pieces": splitting.p4_pieces,
+    "p4_file_pieces": splitting.p4_file_pieces,
     "p5_found": clustering.p5_found,
     "p5_clusters": clustering.p5_clusters,
     "p3_found": cooccurrence.p3_found,
