@@ -313,7 +313,9 @@ def leak_tables(spark):
 
 def test_leaks_found_and_decoys_left(spark):
     docs, d, i = leak_tables(spark)
-    assert rows(leakage.leaked_items(d, i)) == [(n, 70) for n, _, leak in docs if leak]
+    want = sorted([(n, 70, "verbatim") for n, _, leak in docs if leak] + [(6, 70, "template")])
+    assert rows(leakage.leaked_items(d, i)) == want
+    assert rows(leakage.leaked_items(d, i, broadcast_bytes=0)) == want  # joined by window instead
     assert leakage.leaked_items(d.limit(0), i).count() == 0 and leakage.leaked_items(d, i.limit(0)).count() == 0
 
 
@@ -451,7 +453,34 @@ def test_edits_count_alike_near_both_ends_of_a_passage(spark):
     texts = [(k, "we note that " + " ".join("zebra" if i == k else w for i, w in enumerate(words)) + " in all of it") for k in range(1, 11)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     items = spark.createDataFrame([(1, "s", " ".join(words))], "item_id long, suite string, text string")
-    assert rows(leakage.leaked_items(docs, items)) == [(k, 1) for k in range(1, 11)]
+    assert rows(leakage.leaked_items(docs, items)) == [(k, 1, "verbatim") for k in range(1, 11)]
+
+
+def test_slots_must_be_filled_alike(spark):
+    item = "Mister Aldo sold 12 crates to Bea for 40 coins then gave Aldo 7 crates while Bea kept 33 coins of it"
+    docs = [
+        (1, "so Mister Carl sold 55 crates to Dora for 41 coins then gave Carl 8 crates while Dora kept 32 coins of it again"),
+        (2, "so Mister Carl sold 55 crates to Dora for 41 coins then gave Emil 8 crates while Dora kept 32 coins of it again"),  # Aldo is two
+        (3, "so Mister Carl sold 55 crates to Carl for 41 coins then gave Carl 8 crates while Carl kept 32 coins of it again"),  # one is two
+        (4, "Mister Carl sold 55 crates to something else to nobody we know of and never spoke about it"),
+    ]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(9, None, item)], "item_id long, suite string, text string")
+    for size in (1 << 20, 0):
+        assert rows(leakage.leaked_items(d, i, broadcast_bytes=size)) == [(1, 9, "template")]
+
+
+def test_instructions_are_those_of_whole_suites(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    instruction = "state in your own words without notes whether what follows holds for every case"
+    items = [(k, "s", f"{instruction} {' '.join(word() for _ in range(14))}") for k in range(6)] + [(9, "t", f"{instruction} {' '.join(word() for _ in range(14))}")]
+    docs = [(1, f"here we {instruction} or not at all"), (2, items[3][2] + " end"), (3, None)]
+    i = spark.createDataFrame(items, "item_id long, suite string, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    want = [(1, 9, "verbatim"), (2, 3, "verbatim"), (2, 9, "verbatim")]  # suite t has one item, so no instruction
+    for size in (1 << 20, 0):
+        assert rows(leakage.leaked_items(d, i, broadcast_bytes=size)) == want
 
 
 def test_tails_of_rare_pairs_stay_exact_beside_a_frequent_one():

@@ -8,6 +8,7 @@ QUERIES = {
     "p1_found": linkage.p1_found,
     "p1_matches": linkage.p1_matches,
     "p7_found": leakage.p7_found,
+    "p7_kinds": leakage.p7_kinds,
     "p8_found": subjects.p8_found,
     "p8_posteriors": subjects.p8_posteriors,
     "p4_found": splitting.p4_found,
