@@ -154,45 +154,25 @@ def leaks(item: np.ndarray, doc: np.ndarray, lead: int, seeds: np.ndarray, min_w
     """Whether ``doc`` holds ``min_words`` successive words of ``item`` with about one in ``share`` altered.
 
     ``seeds``: document positions minus item positions where windows met; ``lead``: words of an
-    instruction the item begins with, of which a span of an instruction alone consists. A local
-    alignment around the seeds' diagonals (an agreeing word scores 1, a changed, left out or added one
-    -2) carries the span's first item word and its agreeing words. A span runs from an agreeing word to
-    an agreeing word and may lack one word more than one in ``share``.
+    instruction the item begins with, of which a span of an instruction alone consists. A span runs from an
+    agreeing word to an agreeing word and may lack one word more than one in ``share``. Spans with changed
+    words only lie on one diagonal and are tried first; else an alignment around the seeds' diagonals (an
+    agreeing word scores 1, a changed, left out or added one -2) is made from every word at which words
+    begin to agree, so that an edit near a passage's begin costs what it costs near its end.
     """
+    for d in np.unique(seeds):
+        a, b = max(0, -int(d)), min(len(item), len(doc) - int(d))
+        if b - a < min_words:
+            continue
+        same = item[a:b] == doc[a + d : b + d]
+        good = np.concatenate([[0], np.cumsum(same)])
+        good = good[min_words:] - good[:-min_words]
+        own = np.arange(a, b - min_words + 1) + min_words - np.maximum(np.arange(a, b - min_words + 1), lead)
+        if (same[: len(good)] & same[min_words - 1 :] & (own * 2 >= min_words) & ((good + 1) * share >= min_words * (share - 1))).any():
+            return True
     a, b = max(0, int(seeds.min()) - 4), min(len(doc), int(seeds.max()) + len(item) + 5)
     part = doc[a:b]
     n, m = len(item), len(part)
-    score, begin, good = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
-    for i in range(n):
-        same = part == item[i]
-        fresh = score[:-1] <= 0
-        new_s, new_b, new_g = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
-        new_s[1:] = np.where(same, np.where(fresh, 1, score[:-1] + 1), score[:-1] - 2)
-        new_b[1:] = np.where(same & fresh, i, begin[:-1])
-        new_g[1:] = np.where(same, np.where(fresh, 1, good[:-1] + 1), good[:-1])
-        use = score - 2 > new_s  # an item word left out
-        new_s[use], new_b[use], new_g[use] = score[use] - 2, begin[use], good[use]
-        if new_s.max() > 2:
-            for _ in range(2):  # up to two words added in a row
-                at = np.flatnonzero(new_s[:-1] - 2 > new_s[1:]) + 1
-                if not len(at):
-                    break
-                new_s[at], new_b[at], new_g[at] = new_s[at - 1] - 2, new_b[at - 1], new_g[at - 1]
-        np.maximum(new_s, 0, out=new_s)
-        if i + 1 >= min_words and same.any():
-            ends = np.flatnonzero(same & (new_s[1:] > 0)) + 1
-            span = i - new_b[ends] + 1
-            own = i + 1 - np.maximum(new_b[ends], lead)
-            if ((span >= min_words) & (own * 2 >= min_words) & ((new_g[ends] + 1) * share >= span * (share - 1))).any():
-                return True
-        score, begin, good = new_s, new_b, new_g
-    return _from_any_begin(item, part, lead, min_words, share)
-
-
-def _from_any_begin(item: np.ndarray, part: np.ndarray, lead: int, min_words: int, share: int) -> bool:
-    """The same question for every begin at which words begin to agree: an edit close behind the begin of a
-    passage, which makes the alignment above begin anew, costs what it costs close before its end."""
-    n, m = len(item), len(part)
     same = item[:, None] == part
     fresh = same.copy()
     fresh[1:, 1:] &= ~same[:-1, :-1]  # an agreeing word before a begin only helps
