@@ -506,3 +506,13 @@ def test_default_margin_loses_no_link_between_many_cells(spark):
     links = (u @ u.T >= 0.7).sum(1) - 1
     got = clustering.density_clusters(df, "paper_id", 2, reduced=2, cell_rows=20).collect()
     assert len(got) == 400 and all(r["links"] == links[int(r["paper_id"][1:])] for r in got)
+
+
+def test_wrong_and_missing_labels_leave_the_curve_in_place():
+    rng = np.random.default_rng(1)
+    share = np.concatenate([np.zeros(8000), rng.uniform(0.02, 0.98, 600), np.ones(900)])
+    there = share >= 0.2
+    named = np.where(rng.random(len(share)) < np.where(there, 0.1, 0.01), ~there, there).astype(float)
+    curve, wrong, missing = subjects._without_noise(subjects._logit(share), named, np.array([2.0, 2.8]), 1.0)
+    p = 1 / (1 + np.exp(-(subjects._logit(np.array([0.12, 0.3])) * curve[0] + curve[1])))
+    assert p[0] < 0.5 < p[1] and wrong < 0.03 and 0.05 < missing < 0.15

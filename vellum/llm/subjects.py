@@ -6,6 +6,10 @@ in all text over its smoothed share in text of every other subject (the
 complement). A document is cut into segments; a segment's weights add up to its
 evidence for each subject, against the evidence for none. Weights are trained on
 the labelled documents and then on all documents with the segments' posteriors.
+A part of the labelled documents is held out of this; on it, the odds that
+annotators name a subject are fitted to its share of a document, subject by
+subject. A document is about the subjects whose calibrated posterior is a half
+or more.
 """
 
 from __future__ import annotations
@@ -43,6 +47,10 @@ SMOOTHING = 1.0
 NONE_PRIOR = 0.3  # share of segments expected to be about no subject
 FLOOR = 0.02  # least prior of a subject in a document, so that new evidence can enter
 CLIP = 6.0
+HELD_OUT = 5  # one labelled document in so many is kept for calibration
+SHARE_FLOOR = 0.01
+EVEN = 0.2  # the share that counts as half likely before any label is seen
+MOST_SUBJECTS = 1000  # beyond it the model doesn't fit the workers
 
 
 class Segmenter:
@@ -221,14 +229,25 @@ def label_votes(labels: DataFrame, subjects: list[str]) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.array(*[F.sum(F.when(F.col("subject") == s, 1.0).otherwise(0.0)) for s in subjects]).alias("votes"))
 
 
+def held_out(column: str = "doc_id") -> F.Column:
+    """Whether a labelled document is kept for calibration."""
+    return F.pmod(F.xxhash64(column, F.lit("held out")), F.lit(HELD_OUT)) == 0
+
+
+def _some_votes(labels: DataFrame, subjects: list[str], for_calibration: bool, most: int) -> DataFrame:
+    """The votes of at most ``most`` documents, the first by a hash, so that every run takes the same."""
+    part = held_out() if for_calibration else ~held_out()
+    return label_votes(labels, subjects).filter(part).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
 def train(encoded: DataFrame, labels: DataFrame, subjects: list[str], labelled_rounds: int = 3, rounds: int = 2, other_rounds: int = 4, max_labelled: int = 50_000) -> np.ndarray:
     """Word weights from encoded documents, which should be a written table.
 
-    Fitted on at most ``max_labelled`` labelled documents, then ``rounds`` times on all
+    Fitted on at most ``max_labelled`` labelled documents that aren't held out, then ``rounds`` times on all
     documents and ``other_rounds`` times more on those not in the first language.
     """
     k = len(subjects)
-    votes = label_votes(labels, subjects).limit(max_labelled)
+    votes = _some_votes(labels, subjects, False, max_labelled)
     small = within_bytes(labels, 8 << 20)
     known = encoded.join(F.broadcast(votes) if small else votes, "doc_id").select("codes", "votes").persist()
     counts = _counts(known, k, None, True)
@@ -271,47 +290,84 @@ def subject_shares(encoded: DataFrame, model: np.ndarray, subjects: list[str], l
     return encoded.select("doc_id", "codes").mapInArrow(run, "doc_id long, subject string, share double, words double")
 
 
+def _logit(share):
+    """Log odds of a share; shares of 0 and 1 stay finite."""
+    return np.log((share + SHARE_FLOOR) / (1 - share + SHARE_FLOOR))
+
+
+def _curve(x: np.ndarray, y: np.ndarray, near: np.ndarray, ridge: float) -> np.ndarray:
+    """Slope and offset of a logistic curve that is drawn to ``near`` with the weight ``ridge``."""
+    x, beta = np.stack([x, np.ones(len(x))], 1), near.copy()
+    for _ in range(60):  # Newton steps
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        h = x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(2)
+        beta = beta + np.linalg.solve(h, x.T @ (y - p) - ridge * (beta - near))
+    return beta
+
+
+def _without_noise(x: np.ndarray, y: np.ndarray, near: np.ndarray, ridge: float, noise: tuple[float, float] | None = None, rounds: int = 30) -> tuple[np.ndarray, float, float]:
+    """(curve, share of wrong labels, share of missing labels): the curve of what labels without mistakes would be.
+
+    Labels are wrong or left out at one rate each, which are fitted, or given as ``noise``, with the curve by
+    expectation-maximisation; else a few wrong labels at the shares' ends would flatten it.
+    """
+    curve, (wrong, missing) = near, noise or (0.01, 0.05)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x * curve[0] + curve[1], -30, 30)))
+        true = p * np.where(y > 0, 1 - missing, missing)
+        q = true / (true + (1 - p) * np.where(y > 0, wrong, 1 - wrong))  # that the subject is there
+        curve = _curve(x, q, near, ridge)
+        if noise is None:
+            wrong, missing = ((y * (1 - q)).sum() + 0.5) / ((1 - q).sum() + 50), (((1 - y) * q).sum() + 0.5) / (q.sum() + 10)
+    return curve, float(wrong), float(missing)
+
+
 def calibrate(shares: DataFrame, labels: DataFrame, subjects: list[str], max_labelled: int = 50_000) -> dict[str, tuple[float, float]]:
-    """Slope and offset of a logistic curve per subject, from shares to the odds that annotators name it.
+    """Slope and offset of a logistic curve per subject, from the log odds of its share to those that annotators name it.
 
-    Fitted on at most ``max_labelled`` labelled documents, each subject on its own.
+    Fitted on at most ``max_labelled`` held-out documents, each subject on its own, drawn to the curve of all
+    subjects together where a subject has few labels. Wrong and missing labels are taken out of the odds. Without
+    any label, the even odds are at a share of EVEN.
     """
-    votes = label_votes(labels, subjects).limit(max_labelled)
+    votes = _some_votes(labels, subjects, True, max_labelled)
     each = votes.select("doc_id", F.posexplode("votes").alias("s", "v")).select("doc_id", F.element_at(F.array(*map(F.lit, subjects)), F.col("s") + 1).alias("subject"), (F.col("v") > 0).cast("double").alias("y"))
     rows = each.join(shares.select("doc_id", "subject", "share"), ["doc_id", "subject"], "left").select("subject", F.coalesce("share", F.lit(0.0)).alias("x"), "y").toPandas()
-    out = {}
-    for s in subjects:
-        r = rows[rows.subject == s]
-        x, y = np.stack([r.x.to_numpy(), np.ones(len(r))], 1), r.y.to_numpy()
-        beta = np.zeros(2)
-        for _ in range(50):  # Newton steps with a small ridge
-            p = 1 / (1 + np.exp(-x @ beta))
-            h = x.T @ (x * (p * (1 - p))[:, None]) + 1e-2 * np.eye(2)
-            beta += np.linalg.solve(h, x.T @ (y - p) - 1e-2 * beta)
-        out[s] = (float(beta[0]), float(beta[1]))
-    return out
+    x, y = _logit(rows.x.to_numpy(float)), rows.y.to_numpy(float)
+    start = np.array([2.0, -2.0 * float(_logit(EVEN))])
+    pooled, wrong, missing = _without_noise(x, y, start, 1.0)
+    return {s: tuple(map(float, _without_noise(x[rows.subject == s], y[rows.subject == s], pooled, 5.0, (wrong, missing))[0])) for s in subjects}
 
 
 def with_posterior(shares: DataFrame, curves: dict[str, tuple[float, float]]) -> DataFrame:
     """Adds ``posterior``: the calibrated probability, subject by subject."""
     slope = F.create_map(*[F.lit(x) for s, (a, _) in curves.items() for x in (s, a)])[F.col("subject")]
     offset = F.create_map(*[F.lit(x) for s, (_, b) in curves.items() for x in (s, b)])[F.col("subject")]
-    return shares.withColumn("posterior", 1 / (1 + F.exp(-(slope * F.col("share") + offset))))
+    odds = F.log((F.col("share") + SHARE_FLOOR) / (1 - F.col("share") + SHARE_FLOOR))
+    return shares.withColumn("posterior", 1 / (1 + F.exp(-(slope * odds + offset))))
+
 
+def document_subjects(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> DataFrame:
+    """(doc_id, subject, share, words, posterior) of every subject of which a document says anything, by the whole method.
 
-def _tables(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    ``documents``: (doc_id, text); null and empty texts have no row. Repeated
+    rows give repeated rows.
+    """
+    encoded = materialise(encode(documents), "codes")
+    shares = materialise(subject_shares(encoded, train(encoded, labels, subjects), subjects), "shares")
+    return with_posterior(shares, calibrate(shares, labels, subjects))
+
+
+def _subjects(spark, sf_dir: str) -> DataFrame:
     documents, labels, subjects = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "subject_labels", "subjects"))
-    return documents.select("doc_id", "text"), labels, sorted(r["subject"] for r in subjects.select("subject").limit(1000).collect())
+    names = sorted(r[0] for r in subjects.select("subject").filter("subject is not null").distinct().limit(MOST_SUBJECTS + 1).collect())
+    if len(names) > MOST_SUBJECTS:
+        raise ValueError(f"more than {MOST_SUBJECTS} subjects")
+    return document_subjects(documents.select("doc_id", "text"), labels, names)
 
 
 def p8_found(spark, sf_dir: str) -> DataFrame:
-    documents, labels, subjects = _tables(spark, sf_dir)
-    encoded = materialise(encode(documents), "codes")
-    return subject_shares(encoded, train(encoded, labels, subjects), subjects, least=0.2).select("doc_id", "subject").distinct()
+    return _subjects(spark, sf_dir).filter("posterior >= 0.5").select("doc_id", "subject").distinct()
 
 
 def p8_posteriors(spark, sf_dir: str) -> DataFrame:
-    documents, labels, subjects = _tables(spark, sf_dir)
-    encoded = materialise(encode(documents), "codes")
-    shares = subject_shares(encoded, train(encoded, labels, subjects), subjects)
-    return with_posterior(shares, calibrate(shares, labels, subjects))
+    return _subjects(spark, sf_dir)
