@@ -26,6 +26,7 @@ from vellum.session import materialise, within_bytes
 PAIRS_AT_ONCE = 1 << 22
 LONGEST_EXACT = 2000  # joint counts above this use the normal approximation with a skewness term
 BROADCAST_BYTES = 8 << 20
+INCIDENCES_A_TASK = 50_000
 
 
 def pair_counts(codes: np.ndarray, offsets: np.ndarray, n_items: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,10 +157,11 @@ def pairs_in_groups(baskets: DataFrame, group_incidences: int = 4_000_000) -> Da
     table gives an empty result. ``n`` is handed on for lift: n_ab n / (n_a n_b).
     """
     baskets = materialise(baskets.select("grp", F.col("n").cast("long").alias("n"), "items"), "baskets")
-    sizes = baskets.groupBy("grp").agg(F.sum(F.size("items")).alias("inc"))
-    # At most (all incidences) / group_incidences groups are that large.
-    large = {r["grp"]: -(-r["inc"] // group_incidences) for r in sizes.filter(F.col("inc") > group_incidences).collect()}
-    small = baskets.filter(~F.col("grp").isin(list(large))) if large else baskets
+    sizes = materialise(baskets.groupBy("grp").agg(F.sum(F.size("items")).cast("long").alias("inc")), "sizes")
+    few = sizes.filter(F.col("inc") <= group_incidences)
+    work = few.agg(F.sum("inc")).first()[0] or 0
+    small = baskets.join(few.select("grp"), "grp", "left_semi")
+    large = sizes.filter(F.col("inc") > group_incidences).select("grp", F.ceil(F.col("inc") / group_incidences).cast("int").alias("slices"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "grp", 1000):
@@ -183,10 +185,12 @@ def pairs_in_groups(baskets: DataFrame, group_incidences: int = 4_000_000) -> Da
                 for c in range(0, k, 100_000):
                     yield pa.RecordBatch.from_arrays([x.slice(c, 100_000) for x in columns], names=["grp", *[x.split()[0] for x in PAIR_SCHEMA.split(", ")]])
 
-    out = small.repartition("grp").sortWithinPartitions("grp").mapInArrow(whole, f"grp string, {PAIR_SCHEMA}")
-    if not large:
+    # By the work, not the bytes, which are few: a group's pairs are many times its incidences.
+    tasks = min(100_000, max(1, -(-work // INCIDENCES_A_TASK)))
+    out = small.repartition(tasks, "grp").sortWithinPartitions("grp").mapInArrow(whole, f"grp string, {PAIR_SCHEMA}")
+    if large.isEmpty():
         return out
-    return out.unionByName(_pairs_of_large(baskets.filter(F.col("grp").isin(list(large))), large))
+    return out.unionByName(_pairs_of_large(baskets.join(large, "grp")))
 
 
 def _codes(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -203,9 +207,9 @@ def _codes(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return names.take(pa.array(order)), codes[np.lexsort((codes, basket))], offsets
 
 
-def _pairs_of_large(baskets: DataFrame, slices: dict[str, int]) -> DataFrame:
-    parts = F.create_map(*[F.lit(x) for kv in slices.items() for x in kv])
-    cut = baskets.withColumn("slice", F.pmod(F.xxhash64("items"), parts[F.col("grp")]))
+def _pairs_of_large(baskets: DataFrame) -> DataFrame:
+    # By a number of the row, so that equal baskets are spread too.
+    cut = baskets.withColumn("slice", F.pmod(F.monotonically_increasing_id(), F.col("slices")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "key", 1000):
@@ -240,7 +244,7 @@ def _pairs_of_large(baskets: DataFrame, slices: dict[str, int]) -> DataFrame:
     # Distinct degrees and counts, not pairs: few even for the largest group.
     scored = rows.groupBy("grp").applyInPandas(model, "grp string, lo long, hi long, n_ab long, expected double, p_value double, q_value double")
     total = baskets.groupBy("grp").agg(F.max("n").alias("n"))
-    pairs = pairs.withColumn("lo", F.least("n_a", "n_b")).withColumn("hi", F.greatest("n_a", "n_b")).join(scored, ["grp", "lo", "hi", "n_ab"]).join(F.broadcast(total), "grp")
+    pairs = pairs.withColumn("lo", F.least("n_a", "n_b")).withColumn("hi", F.greatest("n_a", "n_b")).join(scored, ["grp", "lo", "hi", "n_ab"]).join(total, "grp")
     return pairs.select("grp", *[x.split()[0] for x in PAIR_SCHEMA.split(", ")])
 
 
