@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from vellum.functions import scores as S
 from vellum.functions import text as T
-from vellum.operators import gaps, graph, ingest, retrieval, validation
+from vellum.operators import gaps, graph, ingest, retrieval, sections, validation
 from vellum.operators.components import connected_components
 
 
@@ -140,13 +140,13 @@ def test_deduplicate_is_transitive_and_fills_fields(spark):
 
 def test_parent_sections(spark):
     s = spark.createDataFrame([("p", "a", 1, 1), ("p", "b", 2, 2), ("p", "c", 3, 3), ("p", "d", 4, 2), ("p", "e", 5, 1)], "paper_id string, section_id string, section_order int, section_level int")
-    assert dict(rows(ingest.parent_sections(s).select("section_id", F.coalesce("parent", F.lit("-"))))) == {"a": "-", "b": "a", "c": "b", "d": "a", "e": "-"}
+    assert dict(rows(sections.parent_sections(s).select("section_id", F.coalesce("parent", F.lit("-"))))) == {"a": "-", "b": "a", "c": "b", "d": "a", "e": "-"}
 
 
 def test_chunker_limits_and_folding(spark):
     long = " ".join(f"Sentence number {i} is here to fill the text with words." for i in range(120))
     s = spark.createDataFrame([("p", 1, "Intro", "INTRODUCTION", long), ("p", 2, "Tiny", "OTHER", "few words"), ("p", 3, "Limits", "LIMITATIONS", "short but kept")], "paper_id string, section_order int, title string, section_type string, text string")
-    c = ingest.chunk_sections(s).orderBy("chunk_index").collect()
+    c = sections.chunk_sections(s).orderBy("chunk_index").collect()
     assert [r["chunk_index"] for r in c] == list(range(len(c)))
     assert max(len(r["text"]) for r in c) <= 3400 and c[-1]["section_type"] == "LIMITATIONS"
     assert any("Tiny\n\nfew words" in r["text"] or "Tiny few words" in r["text"] for r in c)

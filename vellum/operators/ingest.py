@@ -54,97 +54,6 @@ def merge_fields(deduplicated: DataFrame, fields: list[str], paper: str = "paper
     return deduplicated.groupBy("canonical").agg(*[first(c) for c in fields], F.count("*").alias("members"))
 
 
-def parent_sections(sections: DataFrame) -> DataFrame:
-    """(section_id, parent): the nearest section before of a smaller level, of the same paper."""
-    w = Window.partitionBy("paper_id").orderBy("section_order").rowsBetween(Window.unboundedPreceding, -1)
-    # One running last per level: levels are few, and no join of a paper's sections with themselves is needed.
-    seen = sections
-    for level in range(1, 6):
-        seen = seen.withColumn(f"_l{level}", F.last(F.when(F.col("section_level") == level, F.struct("section_order", "section_id")), ignorenulls=True).over(w))
-    options = [F.when(F.col("section_level") > level, F.col(f"_l{level}")) for level in range(1, 6)]
-    return seen.select("paper_id", "section_id", F.greatest(*options)["section_id"].alias("parent"))
-
-
-CHUNK_SCHEMA = "paper_id string, chunk_index int, section_type string, section_title string, text string, char_start int, char_end int, token_count int"
-PROTECTED = ("LIMITATIONS", "FUTURE_WORK")
-
-
-def fold_small_sections(titles: list[str], kinds: list[str], texts: list[str], least_words: int) -> list[tuple[str, str, str]]:
-    """Sections of few words joined to the one before (the first to the one behind), their title kept as text."""
-    out: list[list[str]] = []
-    carried = ""
-    for title, kind, text in zip(titles, kinds, texts):
-        if len(text.split()) < least_words and kind not in PROTECTED:
-            piece = f"{title}\n\n{text}" if title else text
-            if out and out[-1][1] not in PROTECTED:
-                out[-1][2] += "\n\n" + piece
-            else:
-                carried += piece + "\n\n"
-            continue
-        out.append([title, kind, carried + text])
-        carried = ""
-    if carried:
-        if out:
-            out[-1][2] += "\n\n" + carried.strip()
-        else:
-            out.append([titles[0], kinds[0], carried.strip()])
-    return [tuple(x) for x in out]
-
-
-def chunk_sections(sections: DataFrame, target: int = 2000, limit: int = 2400, overlap: int = 300, least_words: int = 60) -> DataFrame:
-    """Chunks of each paper's sections, numbered through the paper; chunks never cross a section.
-
-    Paragraphs are gathered up to ``target`` characters; one above ``limit`` is
-    taken by sentences, a sentence above it by slices. A chunk begins with up to
-    ``overlap`` characters of the one before, from a sentence's begin. A chunk of
-    fewer than ``least_words`` words joins the one before where both stay short.
-    """
-    import re
-
-    sentence_end = re.compile(r"(?<=[.!?])\s+(?=[A-Z\"'(\[])")
-
-    def units(text: str) -> list[str]:
-        out = []
-        for p in re.split(r"\n\s*\n", text):
-            p = " ".join(p.split())
-            for s in [p] if len(p) <= limit else sentence_end.split(p):
-                out += [s] if len(s) <= limit else [s[i : i + target] for i in range(0, len(s), target)]
-        return [u for u in out if u]
-
-    def of_paper(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("section_order", kind="stable")
-        rows, at = [], 0
-        for title, kind, text in fold_small_sections(pdf.title.fillna("").tolist(), pdf.section_type.fillna("UNKNOWN").tolist(), pdf.text.fillna("").tolist(), least_words):
-            parts: list[str] = []
-            size = 0
-            for u in units(text):
-                if parts and size and size + len(u) + 2 > target:
-                    size = 0
-                if not size:
-                    parts.append(u)
-                else:
-                    parts[-1] += "\n\n" + u
-                size = len(parts[-1])
-            merged: list[str] = []
-            for p in parts:
-                if merged and len(p.split()) < least_words and len(merged[-1]) + len(p) <= 3000:
-                    merged[-1] += "\n\n" + p
-                else:
-                    merged.append(p)
-            for k, p in enumerate(merged):
-                lead = ""
-                if k and overlap:
-                    tail = merged[k - 1][-overlap:]
-                    cut = sentence_end.search(tail)
-                    lead = tail[cut.end() :] if cut else ""
-                body = f"{lead} {p}" if lead else p
-                rows.append((pdf.paper_id.iloc[0], len(rows), kind, title, body, at, at + len(p), max(1, len(body) // 4)))
-                at += len(p) + 2
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
-
-    return sections.select("paper_id", "section_order", "title", "section_type", "text").groupBy("paper_id").applyInPandas(of_paper, CHUNK_SCHEMA)
-
-
 def heading_sections(lines: DataFrame) -> DataFrame:
     """(paper_id, section, heading, body) from (paper_id, line_no, text, is_heading): lines up to the next heading; text before the first is dropped."""
     w = Window.partitionBy("paper_id").orderBy("line_no")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vellum.functions import scores as S
 from vellum.functions import text as T
 from vellum.operators import ingest as I
+from vellum.operators import sections as SEC
 from vellum.plans.retrieval import NOISE_SQL
 from vellum.session import materialise
 from vellum.sources.tables import fresh, newest, table
@@ -208,7 +209,7 @@ def section_classify(spark, d):
 
 
 def parent_section(spark, d):
-    return I.parent_sections(table(spark, d, "sections").dropDuplicates(["section_id"])).filter("parent is not null").select("section_id", "parent")
+    return SEC.parent_sections(table(spark, d, "sections").dropDuplicates(["section_id"])).filter("parent is not null").select("section_id", "parent")
 
 
 def statement_jaccard_neardup(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vellum.functions import text as T
 from vellum.operators import graph as G
 from vellum.operators import ingest as I
+from vellum.operators import sections as SEC
 from vellum.sources.tables import table
 from vellum.streaming import incremental as X
 
@@ -16,7 +17,7 @@ EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, va
 def chunker(spark, d):
     """Chunks of all sections by paper; a plan per section, not its text, is what others join on."""
     t = table(spark, d, "sections").dropDuplicates(["section_id"])
-    c = I.chunk_sections(t)
+    c = SEC.chunk_sections(t.withColumnRenamed("normalized_title", "n"))
     return c.groupBy("section_type").agg(F.count("*").alias("chunks"), F.max(F.length("text")).alias("longest"), F.count_distinct("paper_id").alias("papers"))
 
 
