@@ -13,7 +13,7 @@ POSITIVE = r"(?i)\b(outperform(?:s|ed)?|improv(?:e|es|ed|ement)|higher (?:accura
 NEGATIVE = r"(?i)\b(fail(?:s|ed)?|worse than|underperform(?:s|ed)?|no significant (?:difference|improvement)|does not improve|did not improve|not improve|lower (?:accuracy|performance|sensitivity|specificity|auc|f1)|decrease[sd]?\s+(?:the\s+)?(?:accuracy|performance|sensitivity|specificity|auc|f1))\b"
 METRIC = r"(?i)\b(accuracy|auc|auroc|f1(?:-score)?|sensitivity|specificity|precision|recall|dice(?: score)?|kappa|iou)\b\s*(?:was|of|=|:)?\s*(\d+(?:\.\d+)?\s*%?)"
 RESULT_SECTIONS = ["RESULTS", "DISCUSSION", "ABSTRACT"]
-ADDRESSING_SECTIONS = ["ABSTRACT", "METHODS", "METHODOLOGY", "RESULTS", "CONCLUSION"]
+ADDRESSING_SECTIONS = ["METHODS", "METHODOLOGY", "MODEL", "RESULTS", "EXPERIMENTS", "EVALUATION", "ABSTRACT"]
 # Sentences about the paper itself, its motivation, page headers, citation runs and tables.
 SELF_REFERENCE = r"(?i)\b(this (app|application|tool|website|interface|project|chatbot)|our (app|application|tool|website|interface|chatbot)|user[- ]friendly|user interface|graphical interface|the proposed (system|application) (offers|provides|allows)|we (propose|present|introduce|develop|developed|proposed) (a|an|the)\b(?!.*\b(lack|limited|fail|challenge)))"
 CONTRIBUTION = r"(?i)\b(the proposed (system|method|model|framework|approach|architecture|technique|pipeline)|our (proposed )?(method|model|framework|approach|system|architecture|study|work)|(we|this (study|paper|work|research|project|review)) (propose[sd]?|present(s|ed)?|implement(s|ed)?|develop(s|ed)?|introduce[sd]?|overcome[s]?|address(es|ed)?|tackle[sd]?|demonstrate[sd]?|achieve[sd]?)|to (overcome|address|tackle|mitigate) (the|these|this|such|those)|overcomes? (the|these) limitations?|(advantages|benefits) over|(resolve[sd]?|alleviate[sd]?|mitigate[sd]?|solve[sd]?|eliminate[sd]?)\b)"
@@ -49,12 +49,24 @@ def direction(sentence: Column) -> Column:
     return F.when(up & down, "MIXED").when(up, "POSITIVE").when(down, "NEGATIVE")
 
 
-def result_claims(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(key, sentence, direction, metric, value): sentences of result sections with a direction, each once per chunk."""
-    s = chunks.filter(F.col("section_type").isin(RESULT_SECTIONS)).select(key, F.explode(sentences(F.col("text"))).alias("sentence"))
-    s = s.withColumn("direction", direction(F.col("sentence"))).filter("direction is not null").dropDuplicates([key, "sentence"])
+def result_claims(chunks: DataFrame, key: str = "chunk_id", vocabulary: dict[str, str] | None = None) -> DataFrame:
+    """(key, sentence, direction, metric, value, entities): sentences of result sections with a direction, each once per chunk whatever its case.
+
+    With a ``vocabulary`` (forms to entity ids) only sentences that name a METHOD and a DATASET or TASK are claims; only
+    sentences with a direction are tagged. Without one ``entities`` is empty.
+    """
+    from vellum.operators.graph import tag_entities
+
+    s = chunks.filter(F.upper("section_type").isin(RESULT_SECTIONS)).select(key, F.explode(sentences(F.col("text"))).alias("sentence"))
+    s = s.withColumn("direction", direction(F.col("sentence"))).filter("direction is not null")
+    s = s.groupBy(key, F.lower("sentence").alias("low")).agg(F.min(F.struct("sentence", "direction")).alias("s")).select(key, "s.*")
     found = lambda k: F.nullif(F.trim(F.regexp_extract("sentence", METRIC, k)), F.lit(""))
-    return s.select(key, "sentence", "direction", F.lower(found(1)).alias("metric"), found(2).alias("value"))
+    s = s.select(key, "sentence", "direction", F.lower(found(1)).alias("metric"), found(2).alias("value"))
+    if vocabulary is None:
+        return s.withColumn("entities", F.array().cast("array<string>"))
+    tags = tag_entities(s.select("sentence").distinct(), vocabulary, "sentence", "sentence").groupBy("sentence").agg(F.array_sort(F.collect_set("entity_id")).alias("entities"))
+    has = lambda *kinds: F.exists("entities", lambda e: F.element_at(F.split(e, ":", 2), 1).isin(*kinds))
+    return s.join(tags, "sentence").filter(has("METHOD") & has("DATASET", "TASK")).select(key, "sentence", "direction", "metric", "value", "entities")
 
 
 def addressed_later(gaps: DataFrame, chunk_entities: DataFrame, stating: DataFrame, limit: int = 5) -> DataFrame:

@@ -26,20 +26,37 @@ GAP_WEIGHTS = {"explicit": 0.25, "sparsity": 0.25, "staleness": 0.15, "novelty":
 EVIDENCE_WEIGHTS = {"relevance": 0.35, "quality": 0.20, "recency": 0.15, "independence": 0.30}
 
 
-def gap_statements(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, section_type, sentence, cue, strength) of sentences of 8 to 70 words that state a gap.
+# Headings of sections that speak of gaps whatever their type.
+GAP_HEADING = r"(?i)research gap|limitation|challenge|open (problem|issue|question)|future (work|direction|research)|discussion|conclusion"
 
-    The strongest cue counts, weighted by the section.
+
+def section_weight(kind: Column, title: Column) -> Column:
+    """Weight of a section by its type, 0.9 at least under a heading that speaks of gaps."""
+    weight = F.coalesce(F.create_map(*[F.lit(x) for kv in SECTION_WEIGHTS.items() for x in kv])[F.upper(F.coalesce(kind, F.lit("UNKNOWN")))], F.lit(0.5))
+    return F.when(F.coalesce(title.rlike(GAP_HEADING), F.lit(False)), F.greatest(weight, F.lit(0.9))).otherwise(weight)
+
+
+def gap_statements(chunks: DataFrame, key: str = "doc_id", title: str | None = None, paper: str | None = None) -> DataFrame:
+    """(key, section_type, sentence, cue, strength) of sentences that state a gap, by their strongest cue and their section's weight.
+
+    ``chunks``: (key, section_type, text) and, where given, a ``title`` and ``paper``, which is handed on. Sentences that
+    ``rejection`` names a reason for are left out: of fewer than 8 or more than 70 words, about the paper itself, page
+    headers, citations, tables. Of one paper (else one key) a sentence counts once, whatever its case: that of the least key.
     """
-    weight = F.create_map(*[F.lit(x) for kv in SECTION_WEIGHTS.items() for x in kv])
-    s = chunks.select(key, "section_type", F.explode(sentences(F.col("text"))).alias("sentence"))
-    s = s.withColumn("words", F.size(F.split("sentence", r"\s+"))).filter("words between 8 and 70")
+    from vellum.operators.evidence import rejection
+
+    owner = paper or key
+    head = F.col(title) if title else F.lit(None).cast("string")
+    s = chunks.select(*dict.fromkeys([key, owner]), "section_type", section_weight(F.col("section_type"), head).alias("weight"), F.explode(sentences(F.col("text"))).alias("sentence"))
     cue, base = F.lit(None).cast("string"), F.lit(None).cast("double")
     for name, strength, pattern in reversed(CUES):
         hit = F.col("sentence").rlike(pattern)
         cue, base = F.when(hit, name).otherwise(cue), F.when(hit, strength).otherwise(base)
-    s = s.withColumn("cue", cue).withColumn("base", base).filter("cue is not null")
-    return s.select(key, "section_type", "sentence", "cue", F.round(F.col("base") * F.coalesce(weight[F.col("section_type")], F.lit(0.5)), 4).alias("strength"))
+    s = s.withColumn("cue", cue).filter("cue is not null").filter(rejection(F.col("sentence")).isNull()).withColumn("strength", F.round(base * F.col("weight"), 4))
+    rest = ["section_type", "sentence", "cue", "strength"]
+    first = F.min(F.struct(key, *rest)).alias("s")
+    one = s.groupBy(F.col(owner).alias("_owner"), F.lower("sentence").alias("_low")).agg(first)
+    return one.select(*([F.col("_owner").alias(paper)] if paper and paper != key else []), F.col(f"s.{key}").alias(key), *[F.col(f"s.{c}").alias(c) for c in rest])
 
 
 def explicit_support(statements: DataFrame, group: list[str], paper: str) -> DataFrame:
@@ -48,10 +65,10 @@ def explicit_support(statements: DataFrame, group: list[str], paper: str) -> Dat
     return best.groupBy(*group).agg(F.count("*").alias("papers"), F.round(F.sum("s"), 6).alias("support"), F.round(1 - F.exp(-F.sum("s") / 2), 6).alias("explicit"))
 
 
-def combination_sparsity(entity_paper: DataFrame, sizes: DataFrame, edges: DataFrame, type_pairs: DataFrame, least_papers: int = 3, most_lift: float = 0.35, least_expected: float = 1.5, least_link: float = 0.25) -> DataFrame:
+def combination_sparsity(entity_paper: DataFrame, sizes: DataFrame, edges: DataFrame, type_pairs: DataFrame, least_papers: int = 3, most_lift: float = 0.35, least_expected: float = 1.5, least_link: float = 0.25, limit: int | None = None) -> DataFrame:
     """Pairs of entities of fitting types that meet more rarely than expected though their neighbours overlap.
 
-    ``type_pairs``: (ta, tb), a list of a few rows. Entities of too few papers
+    ``type_pairs``: (ta, tb), a list of a few rows; ``limit``: the best of each run. Entities of too few papers
     can't reach ``least_expected`` with the most frequent one and leave before
     the pairs are made within a run and type pair.
     """
@@ -59,7 +76,7 @@ def combination_sparsity(entity_paper: DataFrame, sizes: DataFrame, edges: DataF
     freq = entity_paper.groupBy("run_id", "entity").agg(F.count("*").alias("f")).filter(F.col("f") >= least_papers).join(sizes, "run_id")
     top = freq.groupBy("run_id").agg(F.max("f").alias("top"))
     freq = freq.join(top, "run_id").filter(F.col("f") * F.col("top") / F.col("n") >= least_expected).withColumn("kind", kind("entity"))
-    a = freq.join(F.broadcast(type_pairs), F.col("kind") == F.col("ta")).select("run_id", F.col("entity").alias("a"), F.col("f").alias("fa"), "n", "tb")
+    a = freq.join(type_pairs, F.col("kind") == F.col("ta")).select("run_id", F.col("entity").alias("a"), F.col("f").alias("fa"), "n", "tb")
     b = freq.select("run_id", F.col("entity").alias("b"), F.col("f").alias("fb"), F.col("kind").alias("tb"))
     pairs = a.join(b, ["run_id", "tb"]).filter(F.col("fa") * F.col("fb") / F.col("n") >= least_expected)
     pairs = pairs.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b"))
@@ -73,9 +90,13 @@ def combination_sparsity(entity_paper: DataFrame, sizes: DataFrame, edges: DataF
         pairs = pairs.join(near.select("run_id", F.col("e").alias(side), F.col("near").alias(f"n{side}")), ["run_id", side], "left")
     none = F.array().cast("array<string>")
     na, nb = F.array_except(F.coalesce("na", none), F.array("b")), F.array_except(F.coalesce("nb", none), F.array("a"))
-    out = pairs.withColumn("link", jaccard(na, nb)).filter(F.col("link") >= least_link)
+    out = pairs.filter("a <> b").withColumn("link", jaccard(na, nb)).filter(F.col("link") >= least_link)
     sparsity = 1 - F.least(F.col("lift"), F.lit(1.0))
-    return out.select("run_id", "a", "b", "fa", "fb", "observed", F.round("expected", 3).alias("expected"), F.round("lift", 4).alias("lift"), F.round(sparsity, 4).alias("sparsity"), F.round("link", 4).alias("link"), F.round(sparsity * (0.5 + 0.5 * F.col("link")), 4).alias("score"))
+    out = out.select("run_id", "a", "b", "fa", "fb", "observed", F.round("expected", 3).alias("expected"), F.round("lift", 4).alias("lift"), F.round(sparsity, 4).alias("sparsity"), F.round("link", 4).alias("link"), F.round(sparsity * (0.5 + 0.5 * F.col("link")), 4).alias("score"))
+    if limit is None:
+        return out
+    best = F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("score"), "a", "b"))
+    return out.withColumn("r", best).filter(F.col("r") <= limit).drop("r")
 
 
 def internal_staleness(entity_years: DataFrame, paper_years: DataFrame, span: int = 5) -> DataFrame:

@@ -13,15 +13,27 @@ from pyspark.sql import functions as F
 from vellum.functions.text import term_key
 
 # Pairs of entity types whose rare combination may be a gap.
-TYPE_PAIRS = [("METHOD", "DATASET"), ("METHOD", "TASK"), ("METHOD", "POPULATION"), ("DATASET", "POPULATION"), ("TASK", "POPULATION"), ("METRIC", "TASK")]
+TYPE_PAIRS = [("METHOD", "MODALITY"), ("METHOD", "DISEASE"), ("METHOD", "DATASET"), ("METHOD", "TASK"), ("METHOD", "POPULATION"), ("MODALITY", "DISEASE"), ("DISEASE", "POPULATION"), ("METHOD", "CONCEPT")]
+# A name in front of "dataset", and words that are no name there.
+DATASET_NAME = r"\b([A-Z][A-Za-z0-9\-_]{2,}(?:[ -][A-Z0-9][A-Za-z0-9\-_]*)?)\s+(?:dataset|database|data set)s?\b"
+NO_DATASET = (
+    "this the our their each every a an public publicly large small same new proposed test training validation image images medical available open private benchmark whole entire full original used "
+    "second first third different other two three both following clinical retinal fundus oct eye kaggle own custom combined"
+).split()
+# Entity types of the fields of an understood question.
+FIELD_TYPES = {"methods": "METHOD", "method_variants": "METHOD", "datasets": "DATASET", "metrics": "METRIC", "entities": "DISEASE", "concepts": "CONCEPT", "terminology_variants": "CONCEPT", "constraints": "POPULATION"}
+
+
+def newest_mentions(mentions: DataFrame) -> DataFrame:
+    """(run_id, chunk_id, paper_id, entity, c): the newest mention of each chunk and id as written, of at least one; entities in their plain form."""
+    newest = mentions.groupBy("run_id", "chunk_id", "entity_id").agg(F.max(F.struct("tagged_at", "mention_count", "paper_id")).alias("m")).filter("m.mention_count >= 1")
+    plain = F.concat_ws(":", F.upper(F.trim(F.element_at(F.split("entity_id", ":", 2), 1))), term_key(F.element_at(F.split("entity_id", ":", 2), 2)))
+    return newest.select("run_id", "chunk_id", F.col("m.paper_id").alias("paper_id"), plain.alias("entity"), F.col("m.mention_count").alias("c"))
 
 
 def entity_papers(mentions: DataFrame) -> DataFrame:
-    """(run_id, entity, paper_id, chunks, mentions) from newest mentions of at least one; entities in their plain form."""
-    newest = mentions.groupBy("run_id", "chunk_id", "entity_id").agg(F.max(F.struct("tagged_at", "mention_count", "paper_id")).alias("m")).filter("m.mention_count >= 1")
-    plain = F.concat_ws(":", F.upper(F.trim(F.element_at(F.split("entity_id", ":", 2), 1))), term_key(F.element_at(F.split("entity_id", ":", 2), 2)))
-    rows = newest.select("run_id", plain.alias("entity"), F.col("m.paper_id").alias("paper_id"), "chunk_id", F.col("m.mention_count").alias("c"))
-    return rows.groupBy("run_id", "entity", "paper_id").agg(F.count_distinct("chunk_id").alias("chunks"), F.sum("c").cast("long").alias("mentions"))
+    """(run_id, entity, paper_id, chunks, mentions) of the newest mentions."""
+    return newest_mentions(mentions).groupBy("run_id", "entity", "paper_id").agg(F.count_distinct("chunk_id").alias("chunks"), F.sum("c").cast("long").alias("mentions"))
 
 
 def rollup(entity_paper: DataFrame, papers_of_run: DataFrame) -> DataFrame:
@@ -69,63 +81,109 @@ def chunks_mentioning_all(mentions: DataFrame, entities: list[str]) -> DataFrame
     return rows.groupBy("chunk_id").agg(F.count("*").alias("k"), F.sum("c").cast("long").alias("mentions")).filter(F.col("k") == len(set(entities))).select("chunk_id", "mentions")
 
 
-def tag_entities(chunks: DataFrame, vocabulary: dict[str, str], chunk: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(chunk, entity_id, mention_count): whole words of a vocabulary of surface forms; the longest span wins, then the earliest.
+def question_terms(understanding: dict[str, list[str] | None], vocabulary: dict[str, str]) -> dict[str, str]:
+    """``vocabulary`` with the terms of an understood question: of 3 to 60 characters, never in place of a known form."""
+    known = {f.lower() for f in vocabulary if not f.startswith("=")}
+    out = dict(vocabulary)
+    for field, kind in FIELD_TYPES.items():
+        for term in understanding.get(field) or []:
+            t = (term or "").strip()
+            if 3 <= len(t) <= 60 and t.lower() not in known:
+                out[t], _ = f"{kind}:{t.lower()}", known.add(t.lower())
+    return out
+
+
+class Tagger:
+    """Finds whole-word forms of a vocabulary; of spans that overlap the longest counts, then the earliest.
+
+    ``vocabulary`` maps forms to entity ids; a form that begins with "=" is matched in its own case. With
+    ``datasets``, a capitalised name in front of "dataset" is one too.
+    """
 
-    ``vocabulary`` maps forms to entity ids and is a parameter of a known size; a
-    form that begins with "=" is matched in its own case.
+    def __init__(self, vocabulary: dict[str, str], datasets: bool = True):
+        self.any, self.own = {}, {}
+        for form, entity in vocabulary.items():
+            (self.own if form[:1] == "=" else self.any).setdefault(form[1:] if form[:1] == "=" else form.lower(), entity)
+        whole = lambda forms, flags: re.compile(r"(?<![\w-])(?:" + "|".join(map(re.escape, sorted(forms, key=len, reverse=True))) + r")(?![\w-])", flags) if forms else None
+        self.patterns = [(whole(self.any, re.IGNORECASE), lambda t: self.any.get(t.lower())), (whole(self.own, 0), self.own.get)]
+        self.name = re.compile(DATASET_NAME) if datasets else None
+
+    def __call__(self, text: str) -> list[tuple[str, str, int, int]]:
+        """(entity, surface, start, end) in order of the text."""
+        spans = [(m.start(), m.end(), e, m[0]) for pattern, of in self.patterns if pattern for m in pattern.finditer(text) if (e := of(m[0]))]
+        for m in self.name.finditer(text) if self.name else ():
+            if m[1].split()[0].lower() not in NO_DATASET and m[1].lower() not in self.any:
+                spans.append((m.start(1), m.end(1), f"DATASET:{m[1].lower()}", m[1]))
+        kept: list[tuple[int, int, str, str]] = []
+        for s in sorted(spans, key=lambda s: (s[0] - s[1], s[0])):
+            if all(s[1] <= k[0] or k[1] <= s[0] for k in kept):
+                kept.append(s)
+        return [(e, surface, a, b) for a, b, e, surface in sorted(kept)]
+
+
+def tag_entities(chunks: DataFrame, vocabulary: dict[str, str], chunk: str = "chunk_id", text: str = "text", datasets: bool = True) -> DataFrame:
+    """(chunk, entity_id, mention_count, surfaces): mentions by Tagger. ``vocabulary`` is a parameter of a known size.
+
+    Null texts have no mention; repeated rows of a chunk give repeated rows.
     """
-    forms = {(f[1:] if f[0] == "=" else f.lower()): (e, f[0] == "=") for f, e in vocabulary.items()}
-    pattern = re.compile(r"(?<![\w-])(" + "|".join(map(re.escape, sorted(forms, key=len, reverse=True))) + r")(?![\w-])", re.IGNORECASE) if forms else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tagger = Tagger(vocabulary, datasets)
         for pdf in batches:
             rows = []
-            for cid, t in zip(pdf[chunk], pdf[text]):
-                count: dict[str, int] = {}
-                for m in pattern.finditer(t or "") if pattern else ():
-                    found = forms.get(m[0]) or forms.get(m[0].lower())
-                    if found and (not found[1] or m[0] in forms):
-                        count[found[0]] = count.get(found[0], 0) + 1
-                rows += [(cid, e, n) for e, n in count.items()]
-            yield pd.DataFrame(rows, columns=[chunk, "entity_id", "mention_count"])
+            for cid, t in zip(pdf._c, pdf._t):
+                found: dict[str, list[str]] = {}
+                for entity, surface, _, _ in tagger(t or ""):
+                    found.setdefault(entity, []).append(surface)
+                rows += [(cid, e, len(x), sorted(set(x))) for e, x in found.items()]
+            yield pd.DataFrame(rows, columns=[chunk, "entity_id", "mention_count", "surfaces"])
 
     kind = dict(chunks.dtypes)[chunk]
-    return chunks.select(chunk, text).mapInPandas(run, f"{chunk} {kind}, entity_id string, mention_count int")
+    return chunks.select(F.col(chunk).alias("_c"), F.col(text).alias("_t")).mapInPandas(run, f"{chunk} {kind}, entity_id string, mention_count int, surfaces array<string>")
 
 
 def canonical_forms(entities: DataFrame, least: float = 0.88) -> DataFrame:
     """(type, name, canonical): names of one type that are one by their plain form or by vectors of cosine ``least``.
 
-    Greedy, most papers first: a name joins the first leader it equals, else leads
-    itself; curated names always lead. Names meet within (type, first letter of
-    the plain form) blocks of vectors; an entity table is a vocabulary, not a corpus.
+    Greedy, most papers first, ties by name: a name joins the first leader it equals, else leads itself; two curated
+    names never become one. Names meet within their type; an entity table is a vocabulary of a known size, no corpus.
+    Null vectors equal none; repeated names are one row.
     """
 
     def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["curated", "papers", "name"], ascending=[False, False, True], kind="stable")
-        keys: dict[str, str] = {}
-        vectors: list[np.ndarray] = []
-        names: list[str] = []
-        out = []
-        for r in pdf.itertuples():
-            v = np.array(r.embedding, float)
-            v = v / (np.linalg.norm(v) or 1)
-            owner = keys.get(r.key)
-            if owner is None and vectors and not r.curated:
-                sims = np.stack(vectors) @ v
-                hit = np.flatnonzero(sims >= least)
-                owner = names[hit[0]] if len(hit) else None
-            if owner is None:
-                owner = r.name
-                vectors.append(v)
-                names.append(r.name)
-            keys.setdefault(r.key, owner)
-            out.append((r.type, r.name, owner))
-        return pd.DataFrame(out, columns=["type", "name", "canonical"])
-
-    keyed = entities.withColumn("key", term_key(F.col("name"))).withColumn("curated", F.coalesce("curated", F.lit(False)))
-    return keyed.groupBy("type").applyInPandas(lead, "type string, name string, canonical string")
+        pdf = pdf.sort_values(["papers", "name"], ascending=[False, True], kind="stable")
+        size = max((len(v) for v in pdf.embedding if v is not None), default=1)
+        x = np.zeros((len(pdf), size))
+        for k, v in enumerate(pdf.embedding):
+            if v is not None and len(v) == size:
+                x[k] = np.asarray(v, float) / (np.linalg.norm(v) or 1)
+        keys, curated = pdf.key.to_numpy(object), pdf.curated.to_numpy(bool)
+        leaders = np.empty(len(pdf), int)
+        owner, n = np.empty(len(pdf), int), 0
+        for k in range(len(pdf)):
+            held = leaders[:n]
+            same = ((x[held] @ x[k] >= least) | (keys[held] == keys[k])) & ~(curated[held] & curated[k])
+            hit = int(same.argmax()) if n and same.any() else -1
+            owner[k] = held[hit] if hit >= 0 else k
+            if hit < 0:
+                leaders[n] = k
+                n += 1
+        names = pdf.name.to_numpy(object)
+        return pd.DataFrame({"type": pdf.type, "name": names, "canonical": names[owner]})
+
+    one = entities.groupBy("type", "name").agg(F.max("papers").alias("papers"), F.max(F.coalesce("curated", F.lit(False))).alias("curated"), F.first("embedding", ignorenulls=True).alias("embedding"))
+    return one.withColumn("key", term_key(F.col("name"))).groupBy("type").applyInPandas(lead, "type string, name string, canonical string")
+
+
+def canonical_mentions(mentions: DataFrame, forms: DataFrame) -> DataFrame:
+    """(chunk_id, paper_id, entity, mention_count, surfaces): mentions under their canonical entity, counts added and surfaces joined.
+
+    ``mentions``: (chunk_id, paper_id, entity_id "TYPE:name", mention_count, surfaces); ``forms``: (type, name, canonical).
+    """
+    kind, name = F.element_at(F.split("entity_id", ":", 2), 1), F.element_at(F.split("entity_id", ":", 2), 2)
+    m = mentions.withColumn("type", kind).withColumn("name", name).join(forms, ["type", "name"], "left")
+    m = m.withColumn("entity", F.concat_ws(":", "type", F.coalesce("canonical", "name")))
+    return m.groupBy("chunk_id", "paper_id", "entity").agg(F.sum("mention_count").cast("long").alias("mention_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("surfaces")))).alias("surfaces"))
 
 
 def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 42) -> DataFrame:
@@ -197,13 +255,50 @@ def _louvain(n: int, links: list[tuple[int, int, float]], resolution: float, see
         weights = merged
 
 
-def typed_edges(entity_paper: DataFrame, edges: DataFrame, groups: DataFrame) -> DataFrame:
-    """(run_id, src, dst, kind, weight) of the whole graph: mentions, co-occurrences, communities."""
-    return (
-        entity_paper.select("run_id", F.col("paper_id").alias("src"), F.col("entity").alias("dst"), F.lit("MENTIONS").alias("kind"), F.col("mentions").cast("double").alias("weight"))
-        .unionByName(edges.filter("papers >= 2").select("run_id", F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("CO_OCCURS").alias("kind"), F.col("papers").cast("double").alias("weight")))
-        .unionByName(groups.select("run_id", F.col("entity").alias("src"), F.concat(F.lit("community:"), F.col("community")).alias("dst"), F.lit("IN_COMMUNITY").alias("kind"), F.lit(1.0).alias("weight")))
-    )
+def community_labels(groups: DataFrame, entities: DataFrame) -> DataFrame:
+    """(run_id, community, size, label): the names of a community's three entities of most papers."""
+    j = groups.join(entities.select("run_id", "entity", "papers"), ["run_id", "entity"]).withColumn("name", F.element_at(F.split("entity", ":", 2), 2))
+    r = j.withColumn("r", F.row_number().over(Window.partitionBy("run_id", "community").orderBy(F.desc("papers"), "entity")))
+    return r.groupBy("run_id", "community").agg(F.count("*").alias("size"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= 3, F.struct("r", "name")))), lambda x: x["name"]), ", ").alias("label"))
+
+
+def typed_edges(entity_paper: DataFrame, edges: DataFrame, groups: DataFrame | None = None, statements: DataFrame | None = None, claims: DataFrame | None = None) -> DataFrame:
+    """(run_id, src, dst, kind, weight) of the whole graph: MENTIONS, CO_OCCURS, IN_COMMUNITY, and STATES, ABOUT, REPORTS, ON.
+
+    ``statements`` and ``claims``: (run_id, id, paper_id, entities). Edges to entities that the run doesn't have are left out.
+    """
+    edge = lambda df, src, dst, kind, weight=F.lit(1.0): df.select("run_id", src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"), weight.cast("double").alias("weight"))
+    paper = F.concat(F.lit("paper:"), F.col("paper_id"))
+    out = edge(entity_paper, paper, F.col("entity"), "MENTIONS", F.col("chunks"))
+    out = out.unionByName(edge(edges.filter("papers >= 2"), F.col("a"), F.col("b"), "CO_OCCURS", F.col("papers")))
+    if groups is not None:
+        out = out.unionByName(edge(groups, F.col("entity"), F.concat(F.lit("community:"), F.col("community")), "IN_COMMUNITY"))
+    known = entity_paper.select("run_id", "entity").distinct()
+    for rows, node, of, about in ((statements, "statement", "STATES", "ABOUT"), (claims, "result_claim", "REPORTS", "ON")):
+        if rows is not None:
+            name = F.concat(F.lit(f"{node}:"), F.col("id"))
+            out = out.unionByName(edge(rows, paper, name, of))
+            out = out.unionByName(edge(rows.select("run_id", "id", F.explode("entities").alias("entity")).distinct().join(known, ["run_id", "entity"]), name, F.col("entity"), about))
+    return out
+
+
+def paper_relevance(papers: DataFrame, questions: DataFrame, embed, text: str = "text", fixed: float | None = None) -> DataFrame:
+    """Papers (run_id, paper_id, title, body) with ``relevance`` and ``on_topic``: cosine of their text with the centroid of the run's questions.
+
+    ``questions``: (run_id, question), blank ones left out; ``embed``: (DataFrame, text column) -> DataFrame with
+    ``embedding``. A paper's text is its title and the first 1,500 characters of its body. Without ``fixed`` the threshold
+    is that of relevance_gate; 0 lets all pass.
+    """
+    from vellum.functions.scores import cosine
+    from vellum.operators.signals import centroids
+
+    asked = embed(questions.filter(F.trim("question") != ""), "question")
+    centre = centroids(asked, ["run_id"])
+    p = papers.withColumn(text, F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.substring(F.coalesce("body", F.lit("")), 1, 1500)))
+    scored = embed(p, text).join(centre, "run_id").withColumn("relevance", F.round(cosine(F.col("embedding"), F.col("centroid")), 4)).drop("embedding", "centroid", text)
+    if fixed is not None:
+        return scored.withColumn("on_topic", F.col("relevance") >= fixed)
+    return relevance_gate(scored).withColumnRenamed("passes", "on_topic")
 
 
 def relevance_gate(papers: DataFrame, margin: float = 0.08, floor: float = 0.55) -> DataFrame:

@@ -6,22 +6,27 @@ from pyspark.sql import functions as F
 
 from vellum.functions.text import sentences
 from vellum.operators import evidence as E
+from vellum.operators.graph import DATASET_NAME, NO_DATASET
+from vellum.plans.graph import TERMS
 from vellum.sources.tables import newest, table
 
 GAPS = {"g1": ["gene expression", "soil bacteria"], "g2": ["household savings", "credit markets", "interest rates"], "g3": ["dark matter halos", "detector noise"], "g4": ["only one"]}
 
 
-def _english(spark, d):
-    return table(spark, d, "documents").filter("text is not null and lang in ('en', 'EN-us')")
+def result_claims(spark, d):
+    """Claims of all documents: sentences with a direction that name a method and a task."""
+    c = E.result_claims(table(spark, d, "documents").filter("text is not null"), "doc_id", TERMS)
+    return c.groupBy("direction").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"), F.count("metric").alias("metrics"))
 
 
-def result_claims(spark, d):
-    c = E.result_claims(_english(spark, d), "doc_id")
+def claim_directions(spark, d):
+    """Sentences with a direction, whatever they name."""
+    c = E.result_claims(table(spark, d, "documents").filter("text is not null"), "doc_id")
     return c.groupBy("direction").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"), F.count("metric").alias("metrics"))
 
 
 def statement_rejections(spark, d):
-    s = _english(spark, d).select(F.explode(sentences(F.col("text"))).alias("s"))
+    s = table(spark, d, "documents").filter("text is not null").select(F.explode(sentences(F.col("text"))).alias("s"))
     return s.groupBy(F.coalesce(E.rejection(F.col("s")), F.lit("KEPT")).alias("rule")).agg(F.count("*").alias("n"))
 
 
@@ -57,10 +62,22 @@ def addressed_later(spark, d):
     return E.addressed_later(gaps, chunks, spark.createDataFrame([], "gap_id string, paper_id string"))
 
 
-ENGLISH = r"""WITH t AS (SELECT doc_id, section_type, trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'), ' ') AS x FROM documents WHERE text IS NOT NULL AND lang IN ('en', 'EN-us')),
+ENGLISH = r"""WITH t AS (SELECT doc_id, section_type, trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'), ' ') AS x FROM documents WHERE text IS NOT NULL),
 s AS (SELECT doc_id, section_type, unnest(string_split(regexp_replace(x, '([.!?]) +([A-Z"''(\[])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS sentence FROM t)"""
 
 
+CLAIMS_SQL = f"""c AS (SELECT DISTINCT ON (doc_id, lower(sentence)) doc_id, sentence, CASE WHEN regexp_matches(sentence, '{E.POSITIVE}') AND regexp_matches(sentence, '{E.NEGATIVE}') THEN 'MIXED' WHEN regexp_matches(sentence, '{E.POSITIVE}') THEN 'POSITIVE' WHEN regexp_matches(sentence, '{E.NEGATIVE}') THEN 'NEGATIVE' END AS direction
+ FROM s WHERE upper(section_type) IN ('RESULTS', 'DISCUSSION', 'ABSTRACT'))"""
+
+
+def _named(*kinds: str) -> str:
+    return r"(?i)(^|[^\w-])(" + "|".join(t for t, e in TERMS.items() if e.split(":")[0] in kinds) + r")([^\w-]|$)"
+
+
+_STOPS = ", ".join(f"'{w}'" for w in NO_DATASET)
+_DATASETS = f"len(list_filter(regexp_extract_all(sentence, '{DATASET_NAME}', 1), lambda x: lower(string_split(x, ' ')[1]) NOT IN ({_STOPS}))) > 0"
+
+
 def _coverage_sql() -> str:
     parts = []
     for g, ps in GAPS.items():
@@ -71,11 +88,11 @@ def _coverage_sql() -> str:
     return f"SELECT *, round(joint / greatest(1, smallest)::DOUBLE, 4) AS coverage FROM ({' UNION ALL '.join(parts)})"
 
 
-QUERIES = {f.__name__: f for f in (result_claims, statement_rejections, external_coverage, detector_hosts, detector_hosts_whole, addressed_later)}
+QUERIES = {f.__name__: f for f in (result_claims, claim_directions, statement_rejections, external_coverage, detector_hosts, detector_hosts_whole, addressed_later)}
 ORACLES = {
-    "result_claims": ENGLISH
-    + f""", c AS (SELECT DISTINCT doc_id, sentence, CASE WHEN regexp_matches(sentence, '{E.POSITIVE}') AND regexp_matches(sentence, '{E.NEGATIVE}') THEN 'MIXED' WHEN regexp_matches(sentence, '{E.POSITIVE}') THEN 'POSITIVE' WHEN regexp_matches(sentence, '{E.NEGATIVE}') THEN 'NEGATIVE' END AS direction
- FROM s WHERE section_type IN ('RESULTS', 'DISCUSSION', 'ABSTRACT')) SELECT direction, count(*) AS n, count(DISTINCT doc_id) AS docs, count(CASE WHEN regexp_matches(sentence, '{E.METRIC}') THEN 1 END) AS metrics FROM c WHERE direction IS NOT NULL GROUP BY direction""",
+    "claim_directions": ENGLISH + f""", {CLAIMS_SQL} SELECT direction, count(*) AS n, count(DISTINCT doc_id) AS docs, count(CASE WHEN regexp_matches(sentence, '{E.METRIC}') THEN 1 END) AS metrics FROM c WHERE direction IS NOT NULL GROUP BY direction""",
+    "result_claims": ENGLISH + f""", {CLAIMS_SQL} SELECT direction, count(*) AS n, count(DISTINCT doc_id) AS docs, count(CASE WHEN regexp_matches(sentence, '{E.METRIC}') THEN 1 END) AS metrics FROM c
+ WHERE direction IS NOT NULL AND regexp_matches(sentence, '{_named("METHOD")}') AND (regexp_matches(sentence, '{_named("TASK", "DATASET")}') OR {_DATASETS}) GROUP BY direction""",
     "external_coverage": _coverage_sql(),
     "detector_hosts": """WITH e AS (SELECT run_id AS grp, a, b, max(struct_pack(t := built_at, p := papers)).p AS papers FROM kg_edges GROUP BY ALL),
 h AS (SELECT grp, a AS host, list_distinct(list_prepend(a, list(DISTINCT b))) AS core FROM e GROUP BY grp, a HAVING count(DISTINCT b) <= 50),

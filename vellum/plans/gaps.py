@@ -8,24 +8,36 @@ from vellum.functions.scores import recency
 from vellum.operators import gaps as P
 from vellum.operators.graph import TYPE_PAIRS
 from vellum.operators.ingest import embed_hashed
+from vellum.operators import evidence as E
 from vellum.plans import graph
+from vellum.plans import knowledge as K
 from vellum.sources.tables import newest, table
 
 
 def gap_statements(spark, d):
-    t = table(spark, d, "documents").filter("text is not null and lang in ('en', 'EN-us')")
-    return P.gap_statements(t).groupBy("section_type", "cue").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"), F.round(F.sum("strength"), 4).alias("strength"))
+    """Statements of gaps in all sections, each once per paper."""
+    t = table(spark, d, "sections").filter("text is not null and paper_id is not null")
+    g = P.gap_statements(t, "section_id", "title", "paper_id")
+    return g.groupBy("section_type", "cue").agg(F.count("*").alias("n"), F.count_distinct("paper_id").alias("papers"), F.round(F.sum("strength"), 4).alias("strength"))
 
 
 def explicit_support(spark, d):
-    t = table(spark, d, "documents").filter("text is not null and lang in ('en', 'EN-us') and paper_id is not null")
-    s = P.gap_statements(t.select("paper_id", "section_type", "text", "venue"), "paper_id")
-    return P.explicit_support(s, ["cue"], "paper_id")
+    t = table(spark, d, "documents").filter("text is not null and paper_id is not null")
+    return P.explicit_support(P.gap_statements(t, "doc_id", None, "paper_id"), ["cue"], "paper_id")
 
 
 def combination_sparsity(spark, d):
+    """The reference thresholds over the entities of the on-topic papers that are neither generic nor part of the run's question."""
     pairs = spark.createDataFrame(TYPE_PAIRS, "ta string, tb string")
-    return P.combination_sparsity(graph.entity_paper(spark, d), graph.run_sizes(spark, d), graph.edges(spark, d), pairs, 3, 0.95, 1.2, 0.05)
+    r = K.Run(spark, d)
+    return P.combination_sparsity(K.specific_papers(r), K.on_topic_sizes(r), K.on_topic_edges(r), pairs, limit=15)
+
+
+def combination_sparsity_loose(spark, d):
+    """The same with thresholds at which the invented tables have rows."""
+    pairs = spark.createDataFrame(TYPE_PAIRS, "ta string, tb string")
+    r = K.Run(spark, d)
+    return P.combination_sparsity(K.specific_papers(r), K.on_topic_sizes(r), K.on_topic_edges(r), pairs, 3, 0.95, 0.5, 0.01)
 
 
 def _years(spark, d):
@@ -98,28 +110,44 @@ def _cue_sql() -> tuple[str, str]:
 
 _HIT, _BASE = _cue_sql()
 _WEIGHT = "CASE section_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in P.SECTION_WEIGHTS.items()) + " ELSE 0.5 END"
-STATEMENT_SQL = rf"""WITH t AS (SELECT doc_id, paper_id, section_type, trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'), ' ') AS x FROM documents WHERE text IS NOT NULL AND lang IN ('en', 'EN-us')),
-s AS (SELECT doc_id, paper_id, section_type, unnest(string_split(regexp_replace(x, '([.!?]) +([A-Z"''(\[])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS sentence FROM t),
-w AS (SELECT *, {_HIT} AS cue FROM s WHERE len(string_split(sentence, ' ')) BETWEEN 8 AND 70),
-st AS (SELECT *, round({_BASE} * {_WEIGHT}, 4) AS strength FROM w WHERE cue IS NOT NULL)"""
+_RULES = [E.SELF_REFERENCE.replace("|we (propose|present|introduce|develop|developed|proposed) (a|an|the)\\b(?!.*\\b(lack|limited|fail|challenge))", ""), E.CONTRIBUTION, E.MOTIVATION, E.PAGE_HEADER, E.CITATION_RUN, E.TABLE_HEADER, E.TABLE_LIKE, E.TABLE_ROWS]  # the branch left out is one of CONTRIBUTION's too
+_KEPT = " AND ".join(f"NOT regexp_matches(sentence, '{p}')" for p in _RULES)
+
+
+def _statement_sql(source: str) -> str:
+    """Statements st(owner, k, section_type, sentence, cue, strength) of a source (owner, k, section_type, title, text)."""
+    weight = f"CASE WHEN regexp_matches(coalesce(title, ''), '{P.GAP_HEADING}') THEN greatest(0.9, {_WEIGHT}) ELSE {_WEIGHT} END".replace("CASE section_type", "CASE upper(section_type)")
+    return rf"""t AS (SELECT owner, k, section_type, title, trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'), ' ') AS x FROM ({source})),
+s AS (SELECT owner, k, section_type, title, unnest(string_split(regexp_replace(x, '([.!?]) +([A-Z"''(\[])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS sentence FROM t),
+w AS (SELECT *, {_HIT} AS cue, len(string_split(sentence, ' ')) AS n, len(list_filter(string_split(sentence, ' '), lambda v: regexp_matches(v, '^\p{{Lu}}')))::DOUBLE / len(string_split(sentence, ' ')) AS cap FROM s WHERE len(string_split(sentence, ' ')) BETWEEN 8 AND 70),
+k AS (SELECT *, round({_BASE} * {weight}, 4)::DOUBLE AS strength FROM w WHERE cue IS NOT NULL AND {_KEPT} AND NOT starts_with(ltrim(sentence), '[') AND NOT (cap > 0.55 OR (n > 15 AND cap > 0.42))),
+o AS (SELECT owner, min(struct_pack(k := k, t := section_type, s := sentence, c := cue, st := strength)) AS r FROM k GROUP BY owner, lower(sentence)),
+st AS (SELECT owner, r.k AS k, r.t AS section_type, r.s AS sentence, r.c AS cue, r.st AS strength FROM o)"""
+
+
 SCORED_SQL = """WITH e AS (SELECT run_id, a, b, max(struct_pack(t := built_at, p := papers, i := pmi)) AS r FROM kg_edges GROUP BY run_id, a, b),
 v AS (SELECT run_id, a || '~' || b AS statement, split_part(a, ':', 1) AS kind, r.p AS papers, round(1 - exp(-r.p / 2.0), 6) AS ex, CASE WHEN r.i <= 4 THEN round(1 - r.i / 4, 6) END AS sp,
  CASE WHEN r.p % 3 <> 0 THEN round((r.p % 7) / 7.0, 6) END AS sl, round(least(1.0, r.p / 3.0), 6) AS ind, (r.p % 4) / 3.0 AS ag FROM e),
 g AS (SELECT *, round(least(1.0, (ex * 0.25 + coalesce(sp * 0.25, 0) + coalesce(sl * 0.15, 0) + ind * 0.15) / (0.4 + CASE WHEN sp IS NULL THEN 0 ELSE 0.25 END + CASE WHEN sl IS NULL THEN 0 ELSE 0.15 END) + 0.1 * ag), 4) AS gap_score FROM v)"""
+def combination_sql(most_lift: float, least_expected: float, least_link: float, limit: int | None) -> str:
+    return K.BASE + f""", u AS (SELECT entity, run_id, papers AS f, n, split_part(entity, ':', 1) AS kind FROM fl JOIN nt USING (run_id) WHERE papers >= 3 AND specific),
+p AS (SELECT x.run_id, x.entity AS a, y.entity AS b, x.f AS fa, y.f AS fb, x.f * y.f / x.n::DOUBLE AS expected FROM u x JOIN (VALUES {PAIRS_SQL}) t(ta, tb) ON x.kind = ta JOIN u y ON y.run_id = x.run_id AND y.kind = tb WHERE x.f * y.f / x.n::DOUBLE >= {least_expected}),
+o AS (SELECT p.*, coalesce(edt.papers, 0) AS observed FROM p LEFT JOIN edt ON edt.run_id = p.run_id AND edt.a = least(p.a, p.b) AND edt.b = greatest(p.a, p.b)),
+l AS (SELECT *, observed / expected AS lift FROM o WHERE observed / expected <= {most_lift}),
+w AS (SELECT run_id, a, b FROM edt WHERE pmi > 0 UNION ALL SELECT run_id, b, a FROM edt WHERE pmi > 0), nb AS (SELECT run_id, a AS e, list(b) AS near FROM w GROUP BY ALL),
+k AS (SELECT l.*, list_filter(coalesce(x.near, []), lambda v: v <> l.b) AS na, list_filter(coalesce(y.near, []), lambda v: v <> l.a) AS nb FROM l LEFT JOIN nb x ON x.run_id = l.run_id AND x.e = l.a LEFT JOIN nb y ON y.run_id = l.run_id AND y.e = l.b),
+z AS (SELECT *, CASE WHEN len(na) + len(nb) > 0 THEN len(list_intersect(na, nb)) / (len(na) + len(nb) - len(list_intersect(na, nb)))::DOUBLE ELSE 0 END AS link FROM k),
+q AS (SELECT run_id, a, b, fa, fb, observed, round(expected, 3) AS expected, round(lift, 4) AS lift, round(1 - least(lift, 1), 4) AS sparsity, round(link, 4) AS link, round((1 - least(lift, 1)) * (0.5 + 0.5 * link), 4) AS score FROM z WHERE link >= {least_link} AND a <> b)
+SELECT * FROM q{f" QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY score DESC, a, b) <= {limit}" if limit else ""}"""
+
+
 PAIRS_SQL = ", ".join(f"('{a}','{b}')" for a, b in TYPE_PAIRS)
-QUERIES = {f.__name__: f for f in (gap_statements, explicit_support, combination_sparsity, internal_staleness, external_staleness, topic_density, gap_score, diversity_rank, candidate_rank, candidate_prescore, consensus_clusters)}
+QUERIES = {f.__name__: f for f in (gap_statements, explicit_support, combination_sparsity, combination_sparsity_loose, internal_staleness, external_staleness, topic_density, gap_score, diversity_rank, candidate_rank, candidate_prescore, consensus_clusters)}
 ORACLES = {
-    "gap_statements": STATEMENT_SQL + " SELECT section_type, cue, count(*) AS n, count(DISTINCT doc_id) AS docs, round(sum(strength), 4) AS strength FROM st GROUP BY ALL",
-    "explicit_support": STATEMENT_SQL + ", b AS (SELECT cue, paper_id, max(strength) AS s FROM st WHERE paper_id IS NOT NULL GROUP BY ALL) SELECT cue, count(*) AS papers, round(sum(s), 6) AS support, round(1 - exp(-sum(s) / 2), 6) AS explicit FROM b GROUP BY cue",
-    "combination_sparsity": graph.BASE
-    + f""", u AS (SELECT f.run_id, entity, f, n, split_part(entity, ':', 1) AS kind FROM f JOIN n USING (run_id) WHERE f >= 3),
-p AS (SELECT x.run_id, x.entity AS a, y.entity AS b, x.f AS fa, y.f AS fb, x.f * y.f / x.n::DOUBLE AS expected FROM u x JOIN (VALUES {PAIRS_SQL}) t(ta, tb) ON x.kind = ta JOIN u y ON y.run_id = x.run_id AND y.kind = tb WHERE x.f * y.f / x.n::DOUBLE >= 1.2),
-o AS (SELECT p.*, coalesce(edge.papers, 0) AS observed FROM p LEFT JOIN edge ON edge.run_id = p.run_id AND edge.a = least(p.a, p.b) AND edge.b = greatest(p.a, p.b)),
-l AS (SELECT *, observed / expected AS lift FROM o WHERE observed / expected <= 0.95),
-w AS (SELECT run_id, a, b FROM edge WHERE pmi > 0 UNION ALL SELECT run_id, b, a FROM edge WHERE pmi > 0), nb AS (SELECT run_id, a AS e, list(b) AS near FROM w GROUP BY ALL),
-k AS (SELECT l.*, list_filter(coalesce(x.near, []), lambda v: v <> l.b) AS na, list_filter(coalesce(y.near, []), lambda v: v <> l.a) AS nb FROM l LEFT JOIN nb x ON x.run_id = l.run_id AND x.e = l.a LEFT JOIN nb y ON y.run_id = l.run_id AND y.e = l.b),
-z AS (SELECT *, CASE WHEN len(na) + len(nb) > 0 THEN len(list_intersect(na, nb)) / (len(na) + len(nb) - len(list_intersect(na, nb)))::DOUBLE ELSE 0 END AS link FROM k)
-SELECT run_id, a, b, fa, fb, observed, round(expected, 3) AS expected, round(lift, 4) AS lift, round(1 - least(lift, 1), 4) AS sparsity, round(link, 4) AS link, round((1 - least(lift, 1)) * (0.5 + 0.5 * link), 4) AS score FROM z WHERE link >= 0.05""",
+    "gap_statements": f"WITH {_statement_sql('SELECT paper_id AS owner, section_id AS k, section_type, title, text FROM sections WHERE text IS NOT NULL AND paper_id IS NOT NULL')} SELECT section_type, cue, count(*) AS n, count(DISTINCT owner) AS papers, round(sum(strength), 4) AS strength FROM st GROUP BY ALL",
+    "explicit_support": f"WITH {_statement_sql('SELECT paper_id AS owner, doc_id AS k, section_type, NULL AS title, text FROM documents WHERE text IS NOT NULL AND paper_id IS NOT NULL')}, b AS (SELECT cue, owner, max(strength) AS s FROM st GROUP BY ALL) SELECT cue, count(*) AS papers, round(sum(s), 6) AS support, round(1 - exp(-sum(s) / 2), 6) AS explicit FROM b GROUP BY cue",
+    "combination_sparsity": combination_sql(0.35, 1.5, 0.25, 15),
+    "combination_sparsity_loose": combination_sql(0.95, 0.5, 0.01, None),
     "internal_staleness": graph.BASE
     + """, py AS (SELECT run_id, paper_id, max(struct_pack(t := built_at, y := publication_year)).y AS year FROM kg_papers GROUP BY ALL), yy AS (SELECT * FROM py WHERE year > 0),
 ey AS (SELECT run_id, entity, year, count(*) AS papers FROM ep JOIN yy USING (run_id, paper_id) GROUP BY ALL), ty AS (SELECT run_id, year, count(*) AS total FROM yy GROUP BY ALL),

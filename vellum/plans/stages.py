@@ -33,7 +33,9 @@ def section_bodies(spark, d):
 def canonical_entities(spark, d):
     m = table(spark, d, "kg_mentions").filter("entity_id is not null")
     names = m.select(F.upper(F.trim(F.split("entity_id", ":")[0])).alias("type"), F.lower(F.trim(F.expr("substring(entity_id, instr(entity_id, ':') + 1)"))).alias("name"), "paper_id")
-    e = names.groupBy("type", "name").agg(F.count_distinct("paper_id").alias("papers")).withColumn("curated", F.lit(False))
+    e = names.groupBy("type", "name").agg(F.count_distinct("paper_id").alias("papers"))
+    curated = table(spark, d, "kg_entities").select(F.col("entity_type").alias("type"), F.lower("name").alias("name")).distinct().withColumn("curated", F.lit(True))
+    e = e.join(curated, ["type", "name"], "left")
     return G.canonical_forms(I.embed_hashed(e, "name")).groupBy("type").agg(F.count("*").alias("names"), F.count_distinct("canonical").alias("entities"))
 
 
