@@ -53,15 +53,19 @@ def ranked(scores: DataFrame, by: str = "query_id", doc: str = "doc_id", k: int
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
-def cap_per_paper(rows: DataFrame, cap: int, k: int, paper: str = "paper_id", by: str = "query_id", doc: str = "doc_id") -> DataFrame:
-    """The first ``k`` by rank with at most ``cap`` of a paper; filled up with the best of the rest, then ranked by score.
+def cap_per_paper(rows: DataFrame, cap: int, k: int, paper: str = "paper_id", by: str = "query_id", doc: str = "doc_id", reranked: bool = False) -> DataFrame:
+    """The first ``k`` by rank with at most ``cap`` of a paper; filled up with the best of the rest, then ranked by score, or by rank if ``reranked``.
 
-    Rows without a paper aren't capped together.
+    Rows without a paper aren't capped together; a ``cap`` of 0 is none.
     """
+    if cap <= 0:
+        return rows.filter(F.col("rank") <= k)
     owner = F.coalesce(F.col(paper).cast("string"), F.concat(F.lit("\u0000"), F.col(doc).cast("string")))
     w = Window.partitionBy(by, owner).orderBy("rank")
     first = rows.withColumn("over", (F.row_number().over(w) > cap).cast("int"))
     kept = first.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy("over", "rank"))).filter(F.col("n") <= k)
+    if reranked:
+        return kept.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("rank"))).drop("over", "n")
     return ranked(kept.drop("over", "n", "rank"), by, doc)
 
 

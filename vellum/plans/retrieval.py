@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators import retrieval as R
-from vellum.sources.tables import table
+from vellum.operators import search as H
+from vellum.sources.tables import newest, table
 
 ASKED = {
     "q1": "gene expression in microbial soil bacteria",
@@ -77,17 +78,55 @@ def bm25_filtered(spark, d):
     return R.ranked(kept.select("query_id", "doc_id", "score"), k=20)
 
 
-def rrf_hybrid(spark, d):
+def rrf_overlap(spark, d):
+    """Fusion of two sparse rankings."""
     lists = [("overlap", R.ranked(_overlap(spark, d), k=40)), ("sparse", R.ranked(_bm25(spark, d), k=40))]
     fused = R.rrf(lists).withColumn("score", F.round("score", 9))
     return R.ranked(fused, k=20)
 
 
+def dense_texts(spark, d):
+    return H.dense(table(spark, d, "documents").select("doc_id", "text"), ASKED, H.term_embedder(VOCABULARY), 20).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+def rrf_hybrid(spark, d):
+    """Dense and sparse rankings of all documents, fused, with what each contributed."""
+    h = H.hybrid(table(spark, d, "documents").select("doc_id", "text"), ASKED, H.term_embedder(VOCABULARY))
+    parts = F.array_join(F.transform("contributors", lambda c: F.concat_ws(":", c["method"], c["rank"].cast("string"))), "+")
+    return h.select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank", parts.alias("parts"))
+
+
 def multi_query_rrf(spark, d):
     meta = table(spark, d, "documents").select("doc_id", "publication_year")
     rows = R.ranked(_bm25(spark, d)).join(meta, "doc_id").filter("publication_year >= 2015")
-    fused = R.multi_query(rows).withColumn("score", F.round("score", 9))
-    return fused.orderBy(F.desc("score"), "doc_id").limit(50)
+    fused = H.fused_queries(rows)
+    return fused.orderBy(F.desc("score"), "seen", "doc_id").limit(50).select("doc_id", F.round("score", 9).alias("score"), "best_query", "best_rank", F.size("query_ranks").alias("queries"))
+
+
+def best_of_queries(spark, d):
+    return H.best_of_queries(R.ranked(_bm25(spark, d), k=60), 40)
+
+
+def bm25_index_search(spark, d):
+    """From a kept index; documents without text are in it too."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    index = H.build_index(docs)
+    return H.search_index(index, ASKED, 20).crossJoin(spark.createDataFrame([(H.is_stale(index, docs), H.is_stale(index, docs.filter("text is not null")))], "stale boolean, stale_without_null boolean"))
+
+
+def run_corpus(spark, d):
+    kp = newest(table(spark, d, "kg_papers"), ["paper_id"], "built_at").select("paper_id", "title", "publication_year")
+    chunks = table(spark, d, "kg_mentions").select("chunk_id", "paper_id", F.col("entity_id").alias("text"), F.lit("OTHER").alias("section_type"))
+    c = H.run_corpus(kp, chunks, table(spark, d, "chunk_embeddings").filter("embedding is not null").select("chunk_id", "embedding"))
+    return c.groupBy("paper_id").agg(F.count("*").alias("chunks"), F.count("embedding").alias("vectors"), F.min("text").alias("first"))
+
+
+def capped_reranked(spark, d):
+    """One document per paper after reranking, filled up and kept in the order of the reranking."""
+    docs = table(spark, d, "documents").select("doc_id", "paper_id", "n_chars")
+    rows = R.ranked(_bm25(spark, d), k=60).join(docs, "doc_id")
+    again = H.rerank(rows, F.log(1.0 + F.coalesce("n_chars", F.lit(0))), 20)
+    return R.cap_per_paper(again, 1, 50, reranked=True).select("query_id", "doc_id", "retrieval_rank", "rank")
 
 
 def rerank_window(spark, d):
@@ -130,6 +169,13 @@ def dense_filtered(spark, d):
     return again.filter("n <= 5").select("query_id", "vec_id", "n")
 
 
+VOCABULARY = "gene expression microbial soil bacteria credit markets household savings detector noise dark matter halos gradient descent shot reward models formaci docente fluidez lectora".split()
+_Q = ", ".join(f"('{k}', '{v}')" for k, v in ASKED.items())
+_V = ", ".join(f"'{w}'" for w in VOCABULARY)
+_W = "regexp_extract_all(lower(coalesce({}, '')), '[a-z]+')"
+TEXT_DENSE_SQL = f"""dq AS (SELECT query_id, list_append(list_transform([{_V}], lambda v: len(list_filter({_W.format("q")}, lambda w: w = v))::DOUBLE), 0.05::DOUBLE) AS qv FROM (VALUES {_Q}) x(query_id, q)),
+dv AS (SELECT doc_id, list_append(list_transform([{_V}], lambda v: len(list_filter({_W.format("text")}, lambda w: w = v))::DOUBLE), 0.05::DOUBLE) AS v FROM documents WHERE trim(text, ' ') <> ''),
+ds AS (SELECT query_id, doc_id, round(list_cosine_similarity(v, qv), 9) AS score FROM dv, dq), dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ds)"""
 DENSE_SQL = """
 WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS s, q.label AS own, e.label
            FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
@@ -150,7 +196,7 @@ ideal AS (SELECT query_id, count(*) AS relevant, sum(CASE WHEN i <= 10 THEN (pow
 m AS (SELECT query_id, round(coalesce(rel5 / 5.0, 0), 6) AS p5, round(coalesce(rel10 / 10.0, 0), 6) AS p10, round(coalesce(rel10 / relevant, 0), 6) AS r10, round(coalesce(rr, 0), 6) AS rr,
  round(coalesce(precs / relevant, 0), 6) AS ap, round(coalesce(dcg / idcg, 0), 6) AS ndcg10, coalesce(judged10, 0) AS judged10, coalesce(unjudged10, 0) AS unjudged10 FROM ideal LEFT JOIN per USING (query_id))"""
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_capped, bm25_filtered, rrf_hybrid, multi_query_rrf, rerank_window, ir_metrics, ir_metrics_macro, dense_topk, dense_filtered)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_capped, bm25_filtered, rrf_overlap, dense_texts, rrf_hybrid, multi_query_rrf, best_of_queries, bm25_index_search, run_corpus, capped_reranked, rerank_window, ir_metrics, ir_metrics_macro, dense_topk, dense_filtered)}
 ORACLES = {
     "bm25_topk": BM25_SQL + "SELECT query_id, doc_id, score, rank FROM r1 WHERE rank <= 20",
     "bm25_capped": BM25_SQL
@@ -161,14 +207,26 @@ SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER B
     + f""", f AS (SELECT r1.query_id, doc_id, score FROM r1 JOIN documents USING (doc_id) WHERE section_type IN ('LIMITATIONS','FUTURE_WORK','DISCUSSION','CONCLUSION','RESULTS')
  AND publication_year >= 2015 AND NOT {NOISE_SQL}), x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f)
 SELECT query_id, doc_id, score, rank FROM x WHERE rank <= 20""",
-    "rrf_hybrid": BM25_SQL
+    "rrf_overlap": BM25_SQL
     + """, u AS (SELECT query_id, doc_id, rank, 'sparse' AS method FROM r1 WHERE rank <= 40 UNION ALL SELECT query_id, doc_id, rank, 'overlap' FROM r2 WHERE rank <= 40),
 g AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score, string_agg(DISTINCT method, '+' ORDER BY method) AS methods FROM u GROUP BY ALL),
 x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM g)
 SELECT query_id, doc_id, score, methods, rank FROM x WHERE rank <= 20""",
+    "dense_texts": f"WITH {TEXT_DENSE_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM dr WHERE rank <= 20",
+    "rrf_hybrid": BM25_SQL.rstrip() + f""", {TEXT_DENSE_SQL}, u AS (SELECT query_id, doc_id, rank, 1 AS l, 'dense' AS m FROM dr WHERE rank <= 40 UNION ALL SELECT query_id, doc_id, rank, 2, 'sparse' FROM r1 WHERE rank <= 40),
+g AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 12) AS score, string_agg(m || ':' || rank, '+' ORDER BY l) AS parts FROM u GROUP BY ALL), x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM g)
+SELECT query_id, doc_id, round(score, 9) AS score, rank, parts FROM x WHERE rank <= 20""",
     "multi_query_rrf": BM25_SQL
-    + """, f AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM r1 JOIN documents USING (doc_id) WHERE publication_year >= 2015)
-SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS score, arg_min(query_id, rank * 10 + substr(query_id, 2)::INT) AS best_query, min(rank) AS best_rank FROM f GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 50""",
+    + """, f AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM r1 JOIN documents USING (doc_id) WHERE publication_year >= 2015),
+g AS (SELECT doc_id, round(sum(1.0 / (60 + rank)), 12) AS score, arg_min(query_id, struct_pack(r := rank, q := query_id)) AS best_query, min(rank) AS best_rank, min(struct_pack(q := query_id, r := rank)) AS seen, count(*)::INT AS queries FROM f GROUP BY doc_id)
+SELECT doc_id, round(score, 9) AS score, best_query, best_rank, queries FROM g ORDER BY g.score DESC, seen, doc_id LIMIT 50""",
+    "best_of_queries": BM25_SQL + ", b AS (SELECT doc_id, min(struct_pack(r := rank, q := query_id)) AS b FROM r1 WHERE rank <= 60 GROUP BY doc_id) SELECT doc_id, row_number() OVER (ORDER BY b, doc_id) AS place FROM b ORDER BY b, doc_id LIMIT 40",
+    "bm25_index_search": BM25_SQL + "SELECT query_id, doc_id, score, rank, false AS stale, (SELECT count(*) > 0 FROM documents WHERE text IS NULL) AS stale_without_null FROM r1 WHERE rank <= 20",
+    "run_corpus": """WITH c AS (SELECT chunk_id, min(struct_pack(p := paper_id, t := entity_id)) AS c FROM kg_mentions WHERE chunk_id IS NOT NULL GROUP BY chunk_id)
+SELECT c.p AS paper_id, count(*) AS chunks, count(CASE WHEN chunk_id IN (SELECT chunk_id FROM chunk_embeddings WHERE embedding IS NOT NULL) THEN 1 END) AS vectors, min(c.t) AS first FROM c WHERE c.p IN (SELECT paper_id FROM kg_papers) GROUP BY 1""",
+    "capped_reranked": BM25_SQL + """, t AS (SELECT r1.query_id, doc_id, r1.rank, paper_id, n_chars FROM r1 JOIN documents USING (doc_id) WHERE rank <= 60), a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank > 20, CASE WHEN rank <= 20 THEN -ln(1 + coalesce(n_chars, 0)) END, rank) AS nr FROM t),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id, coalesce(paper_id, '~' || doc_id) ORDER BY nr) > 1 AS o FROM a), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o, nr) AS n FROM c)
+SELECT query_id, doc_id, rank AS retrieval_rank, row_number() OVER (PARTITION BY query_id ORDER BY nr) AS rank FROM k WHERE n <= 50""",
     "rerank_window": BM25_SQL
     + """SELECT query_id, doc_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank > 10, CASE WHEN rank <= 10 THEN coalesce(n_chars, 0) END, rank) AS new_rank
 FROM r1 JOIN documents USING (doc_id) WHERE rank <= 30""",
