@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.scores import cosine
-from vellum.functions.text import jaccard, sentences, statement_terms
+from vellum.functions.text import jaccard, sentences
 
 # Words of a positive and of a negative result, and metric names with their values.
 POSITIVE = r"(?i)\b(outperform(?:s|ed)?|improv(?:e|es|ed|ement)|higher (?:accuracy|performance|sensitivity|specificity|auc|f1)|better than|achiev(?:e|es|ed)\s+(?:an?\s+)?(?:accuracy|performance|score|auc|f1)|increase[sd]?\s+(?:the\s+)?(?:accuracy|performance|sensitivity|specificity|auc|f1))\b"
@@ -107,16 +107,18 @@ def grounded(statements: DataFrame, evidence: DataFrame, least: float = 0.60) ->
 def merge_candidates(signal: DataFrame, llm: DataFrame, least: float = 0.8) -> DataFrame:
     """(statement, origin): signal candidates by place, then the llm candidates that resemble none; origin signal, llm or signal+llm.
 
-    Both: (statement, place). A resembling pair shares a word, by which pairs are made.
+    Both: (statement, place). Statements resemble each other if their terms have a Jaccard of ``least`` or their letters
+    and numbers are the same; a proposal joins the first it resembles.
     """
-    a = signal.select("statement", "place", statement_terms(F.col("statement")).alias("t"))
-    b = llm.select(F.col("statement").alias("other"), statement_terms(F.col("statement")).alias("u"))
-    pairs = a.select("*", F.explode("t").alias("w")).join(b.select("*", F.explode("u").alias("w")), "w").select("statement", "place", "t", "other", "u").distinct()
-    near = pairs.filter(jaccard(F.col("t"), F.col("u")) >= least).groupBy("other").agg(F.min_by("statement", F.struct("place", "statement")).alias("statement"))
-    near = near.select("statement", "other")
+    from vellum.operators.neardup import near_sets, statement_sets
+
+    a, b = (statement_sets(t.select("statement").distinct(), "statement", "statement") for t in (signal, llm))
+    equal = a.filter("key <> ''").select(F.col("id").alias("a"), "key").join(b.select(F.col("id").alias("b"), "key"), "key").select("a", "b")
+    near = near_sets(a.select("id", "terms"), b.select("id", "terms"), least).select("a", "b").unionByName(equal).distinct()
+    near = near.join(signal.groupBy("statement").agg(F.min("place").alias("place")).withColumnRenamed("statement", "a"), "a").groupBy("b").agg(F.min_by("a", F.struct("place", "a")).alias("statement"))
     both = signal.join(near.select("statement").distinct().withColumn("hit", F.lit(True)), "statement", "left")
     first = both.select("statement", F.when(F.col("hit"), "signal+llm").otherwise("signal").alias("origin"))
-    rest = llm.join(near.select(F.col("other").alias("statement")), "statement", "left_anti").select("statement", F.lit("llm").alias("origin"))
+    rest = llm.join(near.select(F.col("b").alias("statement")), "statement", "left_anti").select("statement", F.lit("llm").alias("origin"))
     return first.unionByName(rest)
 
 

@@ -282,6 +282,7 @@ ITEMS_SQL = r"""dk AS (SELECT *, nullif(trim(regexp_replace(regexp_replace(trim(
 it AS (SELECT * FROM (SELECT item_id, max(title) AS title, max(year) AS year, max(dkey) AS doi, max(abstract) AS abstract FROM dk GROUP BY item_id)
  WHERE regexp_full_match(title, '[ -~]*') AND (doi IS NULL OR regexp_full_match(doi, '10[.][0-9]+/[^ ]{6,}'))),
 tk AS (SELECT *, trim(regexp_replace(regexp_replace(lower(title), '[^\p{L}\p{N}\p{M}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS tt FROM it)"""
+ITEMS_WHOLE_SQL = ITEMS_SQL[: ITEMS_SQL.index(" WHERE regexp_full_match(title")] + ITEMS_SQL[ITEMS_SQL.index("),\ntk AS") :]
 COMPONENTS_SQL = f"""WITH RECURSIVE {ITEMS_SQL},
 keys AS (SELECT item_id, 'd:' || doi AS key FROM tk WHERE doi IS NOT NULL UNION ALL SELECT item_id, 't:' || tt || '||' || year FROM tk WHERE tt <> '' AND year <> 0),
 e AS (SELECT DISTINCT a.item_id AS a, b.item_id AS b FROM keys a JOIN keys b USING (key)),
@@ -341,7 +342,7 @@ SELECT CASE WHEN docs IS NULL THEN 'NO_DOCUMENT' WHEN sections IS NULL THEN 'NOT
 SELECT dkey AS doi_key, max(CASE WHEN nt = 1 THEN title END) AS title, max(CASE WHEN oa = 1 THEN nullif(abstract, '') END) AS abstract, max(CASE WHEN oy = 1 THEN year END) AS year, count(*) AS rows FROM o GROUP BY dkey""",
     "exact_dedup_components": COMPONENTS_SQL + " SELECT item_id, canonical FROM comp",
     "dedup_merged_fields": COMPONENTS_SQL
-    + """ SELECT canonical, arg_min(title, item_id) FILTER (title <> '' AND title <> '0') AS title, arg_min(year, item_id) FILTER (year <> 0) AS year, arg_min(abstract, item_id) FILTER (abstract <> '' AND abstract <> '0') AS abstract, count(*) AS members
+    + """ SELECT canonical, max(CASE WHEN item_id = canonical THEN title END) AS title, arg_min(year, item_id) FILTER (year <> 0) AS year, arg_min(abstract, item_id) FILTER (abstract <> '' AND abstract <> '0') AS abstract, count(*) AS members
 FROM comp JOIN it USING (item_id) GROUP BY canonical""",
     "newest_mentions": "SELECT run_id, count(*) AS mentions, sum(c)::BIGINT AS total FROM (SELECT run_id, max(struct_pack(t := tagged_at, c := mention_count)).c AS c FROM kg_mentions GROUP BY run_id, chunk_id, entity_id) WHERE c >= 1 GROUP BY run_id",
     "collection_caps": """WITH u AS (SELECT DISTINCT * FROM external_items), k AS (SELECT *, row_number() OVER (PARTITION BY source_query, source ORDER BY result_rank, item_id, fetched_at) AS n FROM u),
