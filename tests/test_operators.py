@@ -154,7 +154,7 @@ def test_chunker_limits_and_folding(spark):
 
 def test_tagger_longest_span_wins(spark):
     t = spark.createDataFrame([("c", "Deep learning and deep learning models; CT, ct scans. pre-deep learning"), ("d", None)], "chunk_id string, text string")
-    got = rows(graph.tag_entities(t, {"deep learning": "M:dl", "deep learning models": "M:dlm", "=CT": "M:ct"}))
+    got = rows(graph.tag_entities(t, {"deep learning": "M:dl", "deep learning models": "M:dlm", "=CT": "M:ct"}).drop("surfaces"))
     assert got == [("c", "M:ct", 1), ("c", "M:dl", 1), ("c", "M:dlm", 1)]
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vellum.functions import scores as S
 from vellum.functions import text as T
 from vellum.operators import ingest as I
+from vellum.operators import neardup as N
 from vellum.operators import sections as SEC
 from vellum.plans.retrieval import NOISE_SQL
 from vellum.session import materialise
@@ -105,32 +106,21 @@ def doi_normalise(spark, d):
 
 
 def title_author_year_key(spark, d):
-    t = table(spark, d, "external_items").filter("title rlike '^[ -~]*$'")
-    key = T.title_key(F.col("title"), F.array().cast("array<string>"), F.col("year"))
-    return t.select("item_id", key.alias("key")).filter("key is not null").distinct()
-
-
-def title_author_year_key_whole(spark, d):
-    """Titles in any script; the query without _whole keeps to its SQL's ASCII titles."""
     t = table(spark, d, "external_items")
     key = T.title_key(F.col("title"), F.array().cast("array<string>"), F.col("year"))
     return t.select("item_id", key.alias("key")).filter("key is not null").distinct()
 
 
 def upsert_by_doi(spark, d):
-    return I.upsert_by_doi(table(spark, d, "external_items"), F.col("fetched_at")).filter("doi_key is not null")
+    return I.upsert_by_doi(table(spark, d, "external_items"), F.col("fetched_at"))
 
 
-def _all_items(spark, d):
+def _items(spark, d):
     t = table(spark, d, "external_items")
     one = t.groupBy("item_id").agg(F.max("title").alias("title"), F.max("year").alias("year"), F.max(T.doi_key(F.col("doi"))).alias("doi"), F.max("abstract").alias("abstract"))
     return one.withColumn("authors", F.array().cast("array<string>"))
 
 
-def _items(spark, d):
-    return _all_items(spark, d).filter("title rlike '^[ -~]*$' and (doi is null or doi rlike '^10[.][0-9]+/[^ ]{6,}$')")
-
-
 def exact_dedup_components(spark, d):
     return I.deduplicate(_items(spark, d), "item_id").select("item_id", "canonical")
 
@@ -139,14 +129,6 @@ def dedup_merged_fields(spark, d):
     return I.merge_fields(I.deduplicate(_items(spark, d), "item_id"), ["title", "year", "abstract"], "item_id")
 
 
-def exact_dedup_components_whole(spark, d):
-    return I.deduplicate(_all_items(spark, d), "item_id").select("item_id", "canonical")
-
-
-def dedup_merged_fields_whole(spark, d):
-    return I.merge_fields(I.deduplicate(_all_items(spark, d), "item_id"), ["title", "year", "abstract"], "item_id")
-
-
 def newest_mentions(spark, d):
     t = newest(table(spark, d, "kg_mentions").select("run_id", "chunk_id", "entity_id", "mention_count", "tagged_at"), ["run_id", "chunk_id", "entity_id"], "tagged_at")
     return t.filter("mention_count >= 1").groupBy("run_id").agg(F.count("*").alias("mentions"), F.sum("mention_count").cast("long").alias("total"))
@@ -158,11 +140,6 @@ def collection_caps(spark, d):
 
 
 def distinct_case_insensitive(spark, d):
-    t = table(spark, d, "external_items").filter("title rlike '^[ -~]+$'").select(F.lower(F.trim(F.regexp_replace("title", r"\s+", " "))).alias("key"), "title")
-    return t.groupBy("key").agg(F.min("title").alias("title"), F.count("*").alias("rows"))
-
-
-def distinct_case_insensitive_whole(spark, d):
     t = table(spark, d, "external_items").select(F.lower(F.trim(F.regexp_replace("title", r"\s+", " "))).alias("key"), "title").filter("title <> ''")
     return t.groupBy("key").agg(F.min("title").alias("title"), F.count("*").alias("rows"))
 
@@ -191,10 +168,6 @@ def _from_inverted_index(t):
 
 
 def abstract_from_inverted_index(spark, d):
-    return _from_inverted_index(table(spark, d, "documents").filter("text is not null and length(text) between 1 and 2000"))
-
-
-def abstract_from_inverted_index_whole(spark, d):
     return _from_inverted_index(table(spark, d, "documents").filter("length(text) > 0"))
 
 
@@ -213,37 +186,15 @@ def parent_section(spark, d):
 
 
 def statement_jaccard_neardup(spark, d):
-    t = _items(spark, d).filter("doi is not null").select("item_id", "doi", T.statement_terms(F.col("title")).alias("terms"))
-    # Candidates share a DOI; a DOI of more than 50 items names no work.
-    busy = t.groupBy("doi").agg(F.count("*").alias("n")).filter("n between 2 and 50").select("doi")
-    a = t.join(busy, "doi")
-    b = a.select(F.col("item_id").alias("item_b"), "doi", F.col("terms").alias("terms_b"))
-    j = a.join(b, "doi").filter("item_id < item_b").withColumn("jaccard", F.round(T.jaccard(F.col("terms"), F.col("terms_b")), 6))
-    return j.filter("jaccard >= 0.8").select("item_id", "item_b", "jaccard")
-
-
-def statement_jaccard_neardup_whole(spark, d):
-    """Pairs of all items, whatever their DOI, whose titles' terms have a Jaccard of 0.8 or more.
+    """Classes of all items by their titles' terms: pairs of classes with a Jaccard of 0.8 or more, and each item's class.
 
-    Items of equal terms are one class: its least item is paired with each other one, and stands for all in
-    the pairs with other classes. Sets that are that near share one of their rarest terms: of n terms, one of
-    the rarest n - ceil(0.8 n) + 1. No term is dropped for being frequent.
+    Items of equal terms are one class, which stands by its least item.
     """
-    t = _all_items(spark, d).select("item_id", F.array_sort(T.statement_terms(F.col("title"))).alias("terms")).filter(F.size("terms") > 0)
-    first = t.groupBy("terms").agg(F.min("item_id").alias("first"))
-    t = materialise(t.join(first, "terms"), "statements")
-    equal = t.filter("item_id <> first").select(F.col("first").alias("item_id"), F.col("item_id").alias("item_b"), F.lit(1.0).alias("jaccard"))
-    one = t.filter("item_id = first").select("item_id", "terms")
-    words = one.select("item_id", F.explode("terms").alias("w"))
-    ranked = words.join(words.groupBy("w").agg(F.count("*").alias("n")), "w").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ranked"))
-    size = F.size("ranked")
-    rare = F.slice("ranked", F.lit(1), size - F.ceil(size * 4 / 5 - 1e-9).cast("int") + 1)
-    keyed = ranked.select("item_id", F.explode(rare).alias("key"), size.alias("size"))
-    a, b = keyed.select("item_id", F.col("key.w").alias("w"), "size"), keyed.select(F.col("item_id").alias("item_b"), F.col("key.w").alias("w"), F.col("size").alias("size_b"))
-    pairs = a.join(b, "w").filter("item_id < item_b and 5 * least(size, size_b) >= 4 * greatest(size, size_b)").select("item_id", "item_b").distinct()
-    pairs = pairs.join(one, "item_id").join(one.select(F.col("item_id").alias("item_b"), F.col("terms").alias("terms_b")), "item_b")
-    near = pairs.withColumn("jaccard", F.round(T.jaccard(F.col("terms"), F.col("terms_b")), 6)).filter("jaccard >= 0.8")
-    return near.select("item_id", "item_b", "jaccard").unionByName(equal)
+    t = _items(spark, d).select(F.col("item_id").alias("id"), F.array_sort(T.statement_terms(F.coalesce("title", F.lit("")))).alias("terms")).filter(F.size("terms") > 0)
+    t = materialise(t.join(t.groupBy("terms").agg(F.min("id").alias("class")), "terms"), "statements")
+    heads = t.filter("id = class").select("id", "terms")
+    pairs = N.near_sets(heads, heads, 0.8, True)
+    return pairs.select(F.col("a").alias("item_id"), F.col("b").alias("item_b"), "jaccard").unionByName(t.select(F.col("class").alias("item_id"), F.col("id").alias("item_b"), F.lit(1.0).alias("jaccard")))
 
 
 def job_event_status(spark, d):
@@ -280,9 +231,9 @@ def region_revenue(spark, d):
 
 ITEMS_SQL = r"""dk AS (SELECT *, nullif(trim(regexp_replace(regexp_replace(trim(lower(doi)), '^(https?://)?(dx\.)?doi\.org/', ''), '^doi:\s*', '')), '') AS dkey FROM external_items),
 it AS (SELECT * FROM (SELECT item_id, max(title) AS title, max(year) AS year, max(dkey) AS doi, max(abstract) AS abstract FROM dk GROUP BY item_id)
- WHERE regexp_full_match(title, '[ -~]*') AND (doi IS NULL OR regexp_full_match(doi, '10[.][0-9]+/[^ ]{6,}'))),
+),
 tk AS (SELECT *, trim(regexp_replace(regexp_replace(lower(title), '[^\p{L}\p{N}\p{M}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS tt FROM it)"""
-ITEMS_WHOLE_SQL = ITEMS_SQL[: ITEMS_SQL.index(" WHERE regexp_full_match(title")] + ITEMS_SQL[ITEMS_SQL.index("),\ntk AS") :]
+ITEMS_WHOLE_SQL = ITEMS_SQL
 COMPONENTS_SQL = f"""WITH RECURSIVE {ITEMS_SQL},
 keys AS (SELECT item_id, 'd:' || doi AS key FROM tk WHERE doi IS NOT NULL UNION ALL SELECT item_id, 't:' || tt || '||' || year FROM tk WHERE tt <> '' AND year <> 0),
 e AS (SELECT DISTINCT a.item_id AS a, b.item_id AS b FROM keys a JOIN keys b USING (key)),
@@ -305,8 +256,8 @@ QUERIES = {
         corpus_health_counts, runs_paper_counts, multi_source_having, section_type_counts, weighted_mean_null_skip, status_artifact_full_outer, doi_normalise, title_author_year_key,
         upsert_by_doi, exact_dedup_components, dedup_merged_fields, newest_mentions, collection_caps, distinct_case_insensitive, id_set_except, sentence_split_counts, chunk_diagnostics,
         abstract_from_inverted_index, heading_normalise, section_classify, parent_section, statement_jaccard_neardup, job_event_status, latest_job_state, cache_ttl, counts_by_year,
-        top_per_group, region_revenue, title_author_year_key_whole, exact_dedup_components_whole, dedup_merged_fields_whole, distinct_case_insensitive_whole,
-        abstract_from_inverted_index_whole, statement_jaccard_neardup_whole,
+        top_per_group, region_revenue,
+       
     )
 }
 ORACLES = {
@@ -336,10 +287,11 @@ SELECT run_id, paper_id, round(CASE WHEN a IS NULL AND b IS NULL AND c IS NULL T
 SELECT CASE WHEN docs IS NULL THEN 'NO_DOCUMENT' WHEN sections IS NULL THEN 'NOT_SECTIONED' ELSE 'OK' END AS state, count(*) AS papers FROM a FULL JOIN b USING (paper_id) GROUP BY 1""",
     "doi_normalise": f"WITH {ITEMS_SQL} SELECT DISTINCT item_id, dkey AS doi_key FROM dk",
     "title_author_year_key": rf"""SELECT DISTINCT item_id, t || '||' || year AS key FROM (SELECT item_id, year, trim(regexp_replace(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}\p{{M}}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS t
- FROM external_items WHERE regexp_full_match(title, '[ -~]*')) WHERE t <> '' AND year <> 0""",
+ FROM external_items) WHERE t <> '' AND year <> 0""",
     "upsert_by_doi": f"""WITH {ITEMS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY dkey ORDER BY fetched_at DESC, item_id DESC, title DESC NULLS LAST) AS nt,
  row_number() OVER (PARTITION BY dkey ORDER BY abstract IS NULL OR abstract = '', fetched_at, item_id, abstract) AS oa, row_number() OVER (PARTITION BY dkey ORDER BY year IS NULL, fetched_at, item_id, year) AS oy FROM dk WHERE dkey IS NOT NULL)
-SELECT dkey AS doi_key, max(CASE WHEN nt = 1 THEN title END) AS title, max(CASE WHEN oa = 1 THEN nullif(abstract, '') END) AS abstract, max(CASE WHEN oy = 1 THEN year END) AS year, count(*) AS rows FROM o GROUP BY dkey""",
+SELECT dkey AS doi_key, max(CASE WHEN nt = 1 THEN title END) AS title, max(CASE WHEN oa = 1 THEN nullif(abstract, '') END) AS abstract, max(CASE WHEN oy = 1 THEN year END) AS year, count(*) AS rows FROM o GROUP BY dkey
+UNION ALL SELECT NULL, title, nullif(abstract, ''), year, 1 FROM dk WHERE dkey IS NULL""",
     "exact_dedup_components": COMPONENTS_SQL + " SELECT item_id, canonical FROM comp",
     "dedup_merged_fields": COMPONENTS_SQL
     + """ SELECT canonical, max(CASE WHEN item_id = canonical THEN title END) AS title, arg_min(year, item_id) FILTER (year <> 0) AS year, arg_min(abstract, item_id) FILTER (abstract <> '' AND abstract <> '0') AS abstract, count(*) AS members
@@ -347,12 +299,12 @@ FROM comp JOIN it USING (item_id) GROUP BY canonical""",
     "newest_mentions": "SELECT run_id, count(*) AS mentions, sum(c)::BIGINT AS total FROM (SELECT run_id, max(struct_pack(t := tagged_at, c := mention_count)).c AS c FROM kg_mentions GROUP BY run_id, chunk_id, entity_id) WHERE c >= 1 GROUP BY run_id",
     "collection_caps": """WITH u AS (SELECT DISTINCT * FROM external_items), k AS (SELECT *, row_number() OVER (PARTITION BY source_query, source ORDER BY result_rank, item_id, fetched_at) AS n FROM u),
 t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n, fetched_at, source_query) AS place FROM k WHERE n <= 5) SELECT source, source_query, item_id, result_rank, place FROM t WHERE place <= 200""",
-    "distinct_case_insensitive": r"SELECT lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) AS key, min(title) AS title, count(*) AS rows FROM external_items WHERE regexp_full_match(title, '[ -~]+') GROUP BY 1",
+    "distinct_case_insensitive": r"SELECT lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) AS key, min(title) AS title, count(*) AS rows FROM external_items WHERE title <> '' GROUP BY 1",
     "id_set_except": """SELECT paper_id, 'vectors_only' AS side FROM (SELECT paper_id FROM chunk_embeddings EXCEPT SELECT paper_id FROM sections)
 UNION ALL SELECT paper_id, 'sections_only' FROM (SELECT paper_id FROM sections EXCEPT SELECT paper_id FROM chunk_embeddings)""",
     "sentence_split_counts": r"""SELECT doc_id, (len(regexp_extract_all(trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g')), '[.!?][ ]+[A-Z"''(\[]')) + 1)::INT AS sentences FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '[^ \t\n\r\f\x0B]')""",
     "chunk_diagnostics": "SELECT section_type, count(*) AS n, min(s) AS least, max(s) AS most, round(avg(s), 6) AS mean FROM (SELECT DISTINCT ON (section_id) section_type, greatest(1, length(text) // 4)::INT AS s, text FROM sections) WHERE text IS NOT NULL GROUP BY section_type",
-    "abstract_from_inverted_index": r"SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\r\n\f\x0B]+', ' ', 'g'))) AS digest FROM documents WHERE length(text) BETWEEN 1 AND 2000",
+    "abstract_from_inverted_index": r"SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\r\n\f\x0B]+', ' ', 'g'))) AS digest FROM documents WHERE length(text) > 0",
     "heading_normalise": rf"""WITH t AS (SELECT DISTINCT title, trim(title) AS t FROM sections WHERE title IS NOT NULL),
 b AS (SELECT title, CASE WHEN regexp_matches(t, '^\d{{1,3}}(?:\.\d{{1,3}}){{0,4}}\.?\s+') THEN trim(regexp_replace(t, '^\d{{1,3}}(?:\.\d{{1,3}}){{0,4}}\.?\s+', ''))
  WHEN regexp_matches(t, '(?i)^(?:I{{1,4}}|IV|VI{{0,4}}|IX|X{{1,4}}|XL|L|XC|C)\.?\s+') THEN trim(regexp_replace(t, '(?i)^(?:I{{1,4}}|IV|VI{{0,4}}|IX|X{{1,4}}|XL|L|XC|C)\.?\s+', '')) ELSE trim(regexp_replace(t, '^[A-Z]\.?\s+', '')) END AS t FROM t)
@@ -360,9 +312,10 @@ SELECT title, array_to_string(list_transform(regexp_split_to_array(t, '\s+'), la
     "section_classify": _classify_sql(),
     "parent_section": """WITH s AS (SELECT DISTINCT ON (section_id) section_id, paper_id, section_order, section_level FROM sections)
 SELECT a.section_id, arg_max(b.section_id, struct_pack(o := b.section_order, i := b.section_id)) AS parent FROM s a JOIN s b ON a.paper_id = b.paper_id AND b.section_order < a.section_order AND b.section_level < a.section_level GROUP BY a.section_id""",
-    "statement_jaccard_neardup": rf"""WITH {ITEMS_SQL}, m AS (SELECT item_id, doi, list_distinct(list_filter(regexp_extract_all(lower(title), '[\p{{L}}\p{{M}}\p{{N}}]+'), lambda w: w NOT IN ({STOP_SQL}))) AS t FROM it WHERE doi IS NOT NULL),
-j AS (SELECT a.item_id, b.item_id AS item_b, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS la, len(b.t) AS lb FROM m a JOIN m b USING (doi) WHERE a.item_id < b.item_id AND doi IN (SELECT doi FROM m GROUP BY doi HAVING count(*) <= 50))
-SELECT item_id, item_b, round(CASE WHEN la + lb - i > 0 THEN i / (la + lb - i)::DOUBLE ELSE 0 END, 6) AS jaccard FROM j WHERE round(CASE WHEN la + lb - i > 0 THEN i / (la + lb - i)::DOUBLE ELSE 0 END, 6) >= 0.8""",
+    "statement_jaccard_neardup": rf"""WITH {ITEMS_SQL}, m AS (SELECT item_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(title, '')), '[\p{{L}}\p{{M}}\p{{N}}]+'), lambda w: w NOT IN ({STOP_SQL})))) AS t FROM it),
+c AS (SELECT item_id, t, min(item_id) OVER (PARTITION BY t) AS cl FROM m WHERE len(t) > 0), h AS (SELECT * FROM c WHERE item_id = cl),
+j AS (SELECT a.item_id, b.item_id AS item_b, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS la, len(b.t) AS lb FROM h a JOIN h b ON a.item_id < b.item_id)
+SELECT item_id, item_b, round(i / (la + lb - i)::DOUBLE, 6) AS jaccard FROM j WHERE round(i / (la + lb - i)::DOUBLE, 6) >= 0.8 UNION ALL SELECT cl, item_id, 1.0 FROM c""",
     "job_event_status": "SELECT event_type, count(*) AS n, sum((props->>'$.k')::INT)::BIGINT AS k, count(DISTINCT user_id) AS users, round(sum(value), 4) AS value FROM events GROUP BY event_type",
     "latest_job_state": "SELECT t AS state, count(*) AS jobs FROM (SELECT user_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS t FROM events GROUP BY user_id) GROUP BY t",
     "cache_ttl": "SELECT source, count(*) AS entries, count(DISTINCT source_query) AS queries FROM external_items WHERE fetched_at > TIMESTAMP '2024-01-01' - INTERVAL 30 DAY AND fetched_at <= TIMESTAMP '2024-01-01' GROUP BY source",

@@ -52,11 +52,6 @@ def event_sessions(spark, d):
 
 
 def page_snippets(spark, d):
-    t = table(spark, d, "sections").dropDuplicates(["section_id"]).filter("text is not null and text rlike '^[ -~]+$'")
-    return t.select("section_id", T.snippet(F.col("text"), 200).alias("snippet"), T.page_range(F.col("page_start"), F.col("page_end")).alias("pages"))
-
-
-def page_snippets_whole(spark, d):
     t = table(spark, d, "sections").dropDuplicates(["section_id"]).filter("text is not null")
     return t.select("section_id", T.snippet(F.col("text"), 200).alias("snippet"), T.page_range(F.col("page_start"), F.col("page_end")).alias("pages"))
 
@@ -67,7 +62,7 @@ def statement_keywords(spark, d):
 
 
 STOP_SQL = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-QUERIES = {f.__name__: f for f in (chunker, section_bodies, canonical_entities, stream_incremental, event_sessions, page_snippets, page_snippets_whole, statement_keywords)}
+QUERIES = {f.__name__: f for f in (chunker, section_bodies, canonical_entities, stream_incremental, event_sessions, page_snippets, statement_keywords)}
 ORACLES = {
     "section_bodies": """WITH l AS (SELECT doc_id AS paper_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
 s AS (SELECT *, starts_with(text, '#') AS h, sum(starts_with(text, '#')::INT) OVER (PARTITION BY paper_id ORDER BY i) AS section FROM l)
@@ -76,7 +71,7 @@ SELECT paper_id, section::BIGINT AS section, max(CASE WHEN h THEN text END) AS h
     "event_sessions": """WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh, event_id FROM events),
 s AS (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM o), n AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS events, max(n) AS longest FROM n GROUP BY user_id""",
     "page_snippets": r"""SELECT section_id, CASE WHEN length(t) > 200 THEN left(t, 200) || '...' ELSE t END AS snippet, CASE WHEN page_start IS NULL THEN NULL WHEN page_end IS NULL OR page_start = page_end THEN page_start::VARCHAR ELSE page_start || '-' || page_end END AS pages
- FROM (SELECT DISTINCT ON (section_id) *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM sections WHERE text IS NOT NULL AND regexp_full_match(text, '[ -~]+'))""",
+ FROM (SELECT DISTINCT ON (section_id) *, trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'), ' ') AS t FROM sections WHERE text IS NOT NULL)""",
     "statement_keywords": f"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z\\-]{{2,}}')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[a-z][a-z\\-]{{2,}}'), 1) AS i FROM test_items),
 f AS (SELECT item_id, w, min(i) AS i FROM w WHERE w NOT IN ({STOP_SQL}) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY i) AS k FROM f)
 SELECT item_id, string_agg(w, ' ' ORDER BY i) AS keywords FROM r WHERE k <= 6 GROUP BY item_id""",
