@@ -516,3 +516,20 @@ def test_wrong_and_missing_labels_leave_the_curve_in_place():
     curve, wrong, missing = subjects._without_noise(subjects._logit(share), named, np.array([2.0, 2.8]), 1.0)
     p = 1 / (1 + np.exp(-(subjects._logit(np.array([0.12, 0.3])) * curve[0] + curve[1])))
     assert p[0] < 0.5 < p[1] and wrong < 0.03 and 0.05 < missing < 0.15
+
+
+def test_triangles_and_exclusivity():
+    rng = random.Random(3)
+    pairs = sorted({tuple(sorted(rng.sample(range(12), 2))) for _ in range(40)})
+    a, b = (np.array([f"n{p[k]:02d}" for p in pairs], object) for k in (0, 1))
+    index = {p: k for k, p in enumerate(pairs)}
+    want = {frozenset((index[x, y], index[x, z], index[y, z])) for x, y in pairs for z in range(12) if (x, z) in index and (y, z) in index and z > y}
+    got = linkage._triples(a, b)
+    assert len(got) == 3 * len(want) and {frozenset(t) for t in got.tolist()} == want and len({tuple(sorted(t[:2])) + (t[2],) for t in got.tolist()}) == len(got)
+    # One record matches two of another source that are no match of each other: the better one stays.
+    w, s, sign, var = np.array([3.0, 1.0, 2.0, 1.0, 6.0]), np.array([1.0, 0.0, 1.0, 0.0, 0.0]), np.array([1.0, -1, 1, -1, -1]), np.array([0, 0, 1, 1, 2])
+    triples = np.array([[0, 1, 2]])
+    z = linkage.solve(w, s, sign, var, triples, 3, np.array([3.0]), 4000, 1e-9)
+    sure = linkage.confidences(z, w, s, sign, var, triples, np.array([3.0]))
+    assert z[0] > 0.9 and z[1] < 0.1 and z[2] < 0.1 and sure[0] > 0.8 and sure[1] < 0.2
+    assert linkage._triples(np.empty(0, object), np.empty(0, object)).shape == (0, 3)
