@@ -533,3 +533,16 @@ def test_triangles_and_exclusivity():
     sure = linkage.confidences(z, w, s, sign, var, triples, np.array([3.0]))
     assert z[0] > 0.9 and z[1] < 0.1 and z[2] < 0.1 and sure[0] > 0.8 and sure[1] < 0.2
     assert linkage._triples(np.empty(0, object), np.empty(0, object)).shape == (0, 3)
+
+
+def test_tokens_end_where_their_bytes_end(spark):
+    reference_encoder()
+    df = spark.createDataFrame([(1, "It's  fïne 日本"), (2, ""), (3, None), (4, "a" * 50)], "doc_id long, text string")
+    pieces = {v: k for k, v in tokenizing.read_ranks(VOCABULARY).items()}
+    got = {r["doc_id"]: r for r in tokenizing.encode_corpus(df, VOCABULARY, ends="ends").collect()}
+    for doc_id, text in ((1, "It's  fïne 日本"), (2, ""), (3, ""), (4, "a" * 50)):
+        at, data = 0, text.encode()
+        for i, end in zip(got[doc_id]["ids"], got[doc_id]["ends"], strict=True):
+            assert data[at:end] == pieces[i]
+            at = end
+        assert at == len(data)

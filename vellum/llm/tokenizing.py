@@ -247,22 +247,25 @@ def _groups(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield a, len(sizes)
 
 
-def encode_corpus(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode_corpus(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", ends: str | None = None) -> DataFrame:
     """All columns of ``df`` but ``text``, plus ``ids``: the token ids of each text.
 
     ``vocabulary`` is the path of a ``*.tiktoken`` rank file. No row is dropped;
     a null and an empty text give an empty list, a text of blanks is encoded as
-    any other, strings that look like special tokens are ordinary text. Equal
+    any other, strings that look like special tokens are ordinary text. ``ends``
+    names a further column: where each token ends in the text's UTF-8 bytes. Equal
     rows stay separate rows. A column already named ``ids`` is replaced. Each
     row is encoded where it is read: no shuffle.
     """
-    keep = [c for c in df.columns if c not in (text, ids)]
+    keep = [c for c in df.columns if c not in (text, ids, ends)]
     hidden = "__text__"
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(hidden))
-    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(ids, T.ArrayType(T.IntegerType()), True)])
+    extra = [T.StructField(c, T.ArrayType(T.IntegerType()), True) for c in (ids, ends) if c]
+    schema = T.StructType([*[df.schema[c] for c in keep], *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
+        width = _widths(vocabulary) if ends else None
         for batch in batches:
             column = batch.column(batch.num_columns - 1).cast(pa.large_binary())
             size = np.diff(np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]) if len(column) else np.empty(0, np.int64)
@@ -271,11 +274,23 @@ def encode_corpus(df: DataFrame, vocabulary: str, text: str = "text", ids: str =
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out, pa.int32()))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*keep, ids])
+                columns = [*part.columns[:-1], lists]
+                if width is not None:
+                    upto = np.concatenate([[0], np.cumsum(width[out])])
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array((upto[1:] - np.repeat(upto[offsets[:-1]], n)).astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names=[c for c in (*keep, ids, ends) if c])
 
     return source.mapInArrow(run, schema)
 
 
+def _widths(vocabulary: str) -> np.ndarray:
+    """Bytes of each token."""
+    ranks = read_ranks(vocabulary)
+    out = np.zeros(max(ranks.values()) + 1, np.int64)
+    out[list(ranks.values())] = [len(k) for k in ranks]
+    return out
+
+
 def decode_ids(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """Adds ``text``: the text whose tokens ``ids`` holds. A null list gives null; unknown ids raise an error."""
     keep = [c for c in df.columns if c not in (ids, text)]
