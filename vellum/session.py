@@ -2,7 +2,8 @@
 
 Intermediate results that must survive the loss of an executor are written as
 Parquet under the folder the cluster names in ``spark.checkpoint.dir``. Only
-where that setting is missing (tests, a laptop) is a local folder created.
+where that setting is missing and the master is local (tests, a laptop) is a
+local folder created; on a cluster without it an error is raised.
 """
 
 from __future__ import annotations
@@ -38,6 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            # A folder of this machine would be another on every executor.
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if app not in _local_shared:
             _local_shared[app] = tempfile.mkdtemp(prefix="vellum-")
         base = _local_shared[app]
