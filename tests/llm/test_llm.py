@@ -546,3 +546,22 @@ def test_tokens_end_where_their_bytes_end(spark):
             assert data[at:end] == pieces[i]
             at = end
         assert at == len(data)
+
+
+def test_what_is_gathered_is_sorted_a_few_times(monkeypatch):
+    monkeypatch.setattr(neighbours, "GATHERED", 1000)
+    cuts = []
+    own = neighbours.Best._cut
+    monkeypatch.setattr(neighbours.Best, "_cut", lambda self, k: cuts.append(self.size) or own(self, k))
+    rng = np.random.default_rng(0)
+    best, pairs = neighbours.Best(400, 5), {}
+    for _ in range(600):
+        row, other, sim = rng.integers(0, 400, 50), rng.integers(0, 400, 50), None
+        sim = ((row * 31 + other * 17) % 997 / 997).astype(np.float32)
+        best.add(row, other, sim)
+        pairs.update(zip(zip(row.tolist(), other.tolist()), sim.tolist()))
+    r, o = best.all()
+    for k in range(400):
+        mine = sorted((v for (a, _), v in pairs.items() if a == k), reverse=True)[:5]
+        assert sorted((pairs[k, j] for j in o[r == k].tolist()), reverse=True) == mine
+    assert len(cuts) < 30
