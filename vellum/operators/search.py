@@ -38,8 +38,9 @@ def term_embedder(vocabulary: list[str], floor: float = 0.05) -> Embedder:
     """An embedder in the JVM: how often each word of a small vocabulary occurs, and a constant, so that no vector is zero."""
 
     def embed(text: Column) -> Column:
-        words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]+"), F.lit(0))
-        counts = F.transform(F.array(*map(F.lit, vocabulary)), lambda v: F.size(F.filter(words, lambda w: w == v)).cast("double"))
+        words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]+"), F.lit(0)), lambda w: w.isin(vocabulary))
+        # An array of one, so that the words are found once and not for each word of the vocabulary.
+        counts = F.get(F.transform(F.array(words), lambda ws: F.transform(F.array(*map(F.lit, vocabulary)), lambda v: F.size(F.filter(ws, lambda w: w == v)).cast("double"))), F.lit(0))
         return F.concat(counts, F.array(F.lit(floor)))
 
     return embed
