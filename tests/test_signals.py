@@ -256,3 +256,27 @@ def test_topics_of_vectors(spark):
     v = spark.createDataFrame([("c1", [2.0, 0.0]), ("c2", [1.0, 0.0]), ("c3", [0.0, 3.0]), ("c4", [0.0, 0.0])], "chunk_id string, embedding array<double>")
     got = {r["topic"]: (r["density"], r["recent_share"], r["max_similarity"], r["novelty"]) for r in signals.topic_profile(t, c, p, v).collect()}
     assert got == {"a": (1.0, 0.5, 0.0, 0.75), "b": (1.0, 0.5, 0.0, 0.75)}
+
+
+def test_items_are_counted_without_being_paired_with_gaps(spark):
+    many, gaps_n = 300, 200
+    gaps = spark.createDataFrame([(f"g{i}", "r", ["m"], "can") for i in range(gaps_n)] + [("g0", "s", ["m"], "the"), ("h", "r", ["m"], "none")], "gap_id string, run_id string, core array<string>, word string")
+    items = spark.createDataFrame([("can", f"i{k}") for k in range(many)] + [("the", "i0"), ("the", "x")], "word string, id string")
+    counted = loop.items_by_words(gaps, items)
+    got = dict(counted.collect())
+    assert got == {"g0": many + 1} | {f"g{i}": many for i in range(1, gaps_n)}  # i0 counts once for a gap of both words
+    # No join may hold a row for each gap and item.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        again = loop.items_by_words(gaps, items)
+        again.collect()
+        most, todo = 0, [again._jdf.queryExecution().executedPlan()]
+        while todo:
+            node = todo.pop()
+            if node.metrics().contains("numOutputRows"):
+                most = max(most, node.metrics().apply("numOutputRows").value())
+            children = node.children()
+            todo += [children.apply(k) for k in range(children.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert 0 < most <= 3 * (many + gaps_n)

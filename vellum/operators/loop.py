@@ -124,16 +124,29 @@ def search_sources(queries: DataFrame, sources: dict[str, Source], per_query: in
     return out, unavailable
 
 
-def adequacy(gaps: DataFrame, concept_papers: DataFrame, relevant: DataFrame) -> DataFrame:
+def items_by_words(gaps: DataFrame, items: DataFrame) -> DataFrame:
+    """(gap_id, external): how many different items (word, id) have one of a gap's words (gap_id, word).
+
+    Items are counted once for each set of words that gaps have, never paired with the gaps.
+    """
+    sets = gaps.groupBy("gap_id").agg(F.array_sort(F.collect_set("word")).alias("words"))
+    words = sets.select("words").distinct().withColumn("word", F.explode("words"))
+    single = words.filter(F.size("words") == 1).select("word", "words").join(items.groupBy("word").agg(F.count_distinct("id").alias("external")), "word").select("words", "external")
+    several = words.filter(F.size("words") > 1).join(items, "word").groupBy("words").agg(F.count_distinct("id").alias("external"))
+    return sets.join(single.unionByName(several), "words").select("gap_id", "external")
+
+
+def adequacy(gaps: DataFrame, concept_papers: DataFrame, relevant: DataFrame | None = None, external: DataFrame | None = None) -> DataFrame:
     """(gap_id, run_papers, external, adequacy): papers of the run that have all of a gap's concepts, else any, and its relevant external items.
 
-    ``gaps``: (gap_id, run_id, core); ``concept_papers``: (run_id, entity, paper_id); ``relevant``: (gap_id, id) of external sources.
+    ``gaps``: (gap_id, run_id, core); ``concept_papers``: (run_id, entity, paper_id); ``relevant``: (gap_id, id) of external sources,
+    or ``external``: (gap_id, external), these counted before.
     """
     need = gaps.select("gap_id", "run_id", F.size(F.array_distinct("core")).alias("k"), F.explode(F.array_distinct("core")).alias("entity"))
     p = need.join(concept_papers.select("run_id", "entity", "paper_id").distinct(), ["run_id", "entity"]).groupBy("gap_id", "k", "paper_id").agg(F.count("*").alias("n"))
     c = p.groupBy("gap_id").agg(F.sum((F.col("n") == F.col("k")).cast("int")).alias("every"), F.count("*").alias("any"))
     run = F.coalesce(F.when(F.col("every") > 0, F.col("every")).otherwise(F.col("any")), F.lit(0))
-    e = relevant.groupBy("gap_id").agg(F.count_distinct("id").alias("external"))
+    e = relevant.groupBy("gap_id").agg(F.count_distinct("id").alias("external")) if external is None else external
     j = gaps.select("gap_id").join(c, "gap_id", "left").join(e, "gap_id", "left").select("gap_id", run.alias("run_papers"), F.coalesce("external", F.lit(0)).alias("external"))
     return j.withColumn("adequacy", F.round(0.5 * F.least(F.lit(1.0), F.col("run_papers") / 10) + 0.5 * F.least(F.lit(1.0), F.col("external") / 15), 4))
 
