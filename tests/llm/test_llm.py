@@ -565,3 +565,27 @@ def test_what_is_gathered_is_sorted_a_few_times(monkeypatch):
         mine = sorted((v for (a, _), v in pairs.items() if a == k), reverse=True)[:5]
         assert sorted((pairs[k, j] for j in o[r == k].tolist()), reverse=True) == mine
     assert len(cuts) < 30
+
+
+def test_memory_of_linkage_is_bounded():
+    """A large component is solved, and a table of many keys a title written, in slices."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    a, b = np.array(list(combinations([f"n{k:03d}" for k in range(140)], 2)), object).T
+    n = len(a)
+    tracemalloc.start()
+    triples = linkage._triples(a, b)
+    z = linkage.solve(np.full(n, 1.0), np.full(n, 0.8), np.ones(n), np.arange(n), triples, n, rounds=3)
+    linkage.confidences(z, np.full(n, 1.0), np.full(n, 0.8), np.ones(n), np.arange(n), triples)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(triples) == 3 * math.comb(140, 3) and np.allclose(z, z[0])
+    assert peak < 90 * len(triples)  # 150 bytes a triple when all copies were held
+
+    tokens = [{"n": 900, "token": f"word{k:02d}", "in_cut": False} for k in range(13)]
+    batch = pa.RecordBatch.from_pylist([{"id": k, "marks": "", "cut": False, "light": False, "tokens": tokens} for k in range(60)])
+    out = list(linkage.block_rows(iter([batch]), 1000, 40))
+    assert max(x.num_rows for x in out) <= linkage.EMITTED < sum(x.num_rows for x in out)
+    assert sum(x.num_rows for x in out) == 60 * len(linkage.block_keys([(900, t["token"]) for t in tokens], linkage.WORDS_SHARED, 1000, 40, ""))
