@@ -589,3 +589,22 @@ def test_memory_of_linkage_is_bounded():
     out = list(linkage.block_rows(iter([batch]), 1000, 40))
     assert max(x.num_rows for x in out) <= linkage.EMITTED < sum(x.num_rows for x in out)
     assert sum(x.num_rows for x in out) == 60 * len(linkage.block_keys([(900, t["token"]) for t in tokens], linkage.WORDS_SHARED, 1000, 40, ""))
+
+
+def test_neighbours_in_passes_are_those_of_one_pass(spark, monkeypatch, tmp_path):
+    import glob
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    x = (centres[rng.integers(40, size=1500)] + 0.4 * rng.normal(size=(1500, 16))).astype(np.float32)
+    df = spark.createDataFrame([(f"c{k:04d}", v.tobytes()) for k, v in enumerate(x)], "chunk_id string, vec binary").repartition(4)
+    monkeypatch.setattr(neighbours, "PASS_BYTES", 1 << 40)
+    whole = rows(neighbours.nearest_vectors(df, 16, k=5))
+    written = []
+    monkeypatch.setattr(neighbours, "PASS_BYTES", 1 << 14)
+    monkeypatch.setattr(neighbours, "materialise", lambda df, name, real=neighbours.materialise: written.append((name, real(df, name))) or written[-1][1])
+    assert rows(neighbours.nearest_vectors(df, 16, k=5)) == whole
+    names = [name for name, _ in written]
+    assert names.count("lists") > 4 and names.count("edges") > 1  # what is under way at once is a part
+    kept = {name for name, df in written if all(glob.glob(f[5:] if f.startswith("file:") else f) for f in df._jdf.inputFiles())}
+    assert kept == {"members", "near"}  # vectors, lists and what they were cut to are deleted
