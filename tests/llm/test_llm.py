@@ -2,7 +2,9 @@ import importlib.util
 import math
 import os
 import random
+from collections import Counter
 from datetime import datetime, timedelta
+from difflib import SequenceMatcher
 from itertools import combinations
 
 import numpy as np
@@ -626,3 +628,79 @@ def test_clusters_send_no_vector_to_many_cells(spark, monkeypatch):
     assert inside == {f"p{i:04d}" for i in range(len(u)) if core[i] or (u[core] @ u[i] >= 0.7 - 1e-12).any()}
     monkeypatch.setattr(clustering, "BLOCK_ROWS", 400)
     assert rows(clustering.density_clusters(df, "paper_id", 32, cell_rows=400).select("paper_id", "cluster", "links")) == whole
+
+
+def _title_classes(spark, titles):
+    """Title classes as ``candidate_pairs`` makes them; a title that ends in dots is cut short."""
+    data = [(k, " ".join(sorted(t.removesuffix(" ...").split(" "))), "", t.endswith(" ..."), False, 1) for k, t in enumerate(titles)]
+    return spark.createDataFrame(data, "id long, bag string, marks string, cut boolean, light boolean, held long")
+
+
+def test_titles_that_share_half_of_their_words_are_not_compared_letter_by_letter(spark):
+    """Of all pairs that share words enough, only those whose other words may agree are handed on, and they are found once."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("bcdfghjklmnprstvwz") + rng.choice("aeiou") for _ in range(rng.randint(3, 4)))
+    shared = "observed transport across layered sediment under pressure".split()
+    titles = [" ".join([*shared, *(word() for _ in range(5))]) for _ in range(300)]
+    titles.append(" ".join(w[:-2] + w[-1] + w[-2] for w in titles[0].split()[:4]) + " " + " ".join(titles[0].split()[4:]))
+    got = {(r.x, r.y) for r in linkage._overlapping(_title_classes(spark, titles), 40).collect()}
+    assert (0, 300) in got and len(got) < 300  # 45,150 pairs share words enough
+    recs = spark.createDataFrame([("a", t, "", False, [], None, False) for t in titles[:3]], "item_id string, words string, marks string, cut boolean, dois array<string>, abstract binary, often boolean")
+    assert linkage.candidate_pairs(recs)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 3
+
+
+def test_no_agreeing_title_is_lost_by_bounds(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("bcdfghjklmnprstvwzé") + rng.choice("aeiou") for _ in range(rng.randint(2, 6))) for _ in range(60)] + "in of the and for".split() * 6
+
+    def altered(t):
+        w = t.split(" ")
+        for _ in range(rng.randint(1, 4)):
+            k, how = rng.randrange(len(w)), rng.randrange(7)
+            if not w[k]:
+                continue
+            if how == 0 and len(w[k]) > 3:  # two letters change places
+                p = rng.randrange(len(w[k]) - 1)
+                w[k] = w[k][:p] + w[k][p + 1] + w[k][p] + w[k][p + 2 :]
+            elif how == 1:
+                p = rng.randrange(len(w[k]))
+                w[k] = w[k][:p] + rng.choice("abcdefgxyz") + w[k][p + 1 :]
+            elif how == 2 and k + 1 < len(w):  # a blank is lost
+                w[k : k + 2] = [w[k] + w[k + 1]]
+            elif how == 3 and len(w[k]) > 5:  # a blank comes in
+                w[k : k + 1] = [w[k][:3], w[k][3:]]
+            elif how == 4 and k + 3 <= len(w):
+                w[k : k + 3] = ["".join(x[0] for x in w[k : k + 3]) + rng.choice(["", "s"])]
+            elif how == 5:
+                rng.shuffle(w)
+            elif len(w) > 4:
+                del w[k]
+        return " ".join(w)
+
+    titles = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(5, 11))) for _ in range(60)]
+    titles += [altered(t) for t in titles for _ in range(4)]
+    cut = [t[: rng.randint(12, max(13, len(t) - 4))].strip() + " ..." for t in titles[::9]] + [titles[k] + " and more of it than the other has ..." for k in range(0, 60, 7)]
+    titles = list(dict.fromkeys(titles + cut))
+    size = lambda c: sum(map(len, c.elements()))
+    want = set()
+    for (x, a), (y, b) in combinations(enumerate(titles), 2):
+        short = a.endswith(" ...") or b.endswith(" ...")
+        a, b = a.removesuffix(" ..."), b.removesuffix(" ...")
+        ca, cb = Counter(a.split()), Counter(b.split())
+        enough = linkage.CUT_SHARED * min(size(ca), size(cb)) if short else linkage.WORDS_SHARED * max(size(ca), size(cb))
+        if linkage.foreign(a) == linkage.foreign(b) and size(ca & cb) >= enough and linkage.title_agreement(a, b, short) >= linkage.TITLE_AGREES:
+            want.add((x, y))
+    for most in (3, 40):
+        got = {(r.x, r.y) for r in linkage._overlapping(_title_classes(spark, titles), most).collect()}
+        assert len(want) > 200 and want <= got
+    assert len(got) < len(titles) * (len(titles) - 1) / 20
+
+
+def test_common_letters_of_words_bound_their_ratio():
+    rng = random.Random(13)
+    for _ in range(3000):
+        v = "".join(rng.choice("abcdeé1") for _ in range(rng.randint(1, 9)))
+        w = "".join(rng.choice(v + "xy") for _ in range(rng.randint(1, 9)))
+        r = SequenceMatcher(None, v, w, autojunk=False).ratio()
+        assert linkage._in_order(v, w) >= r
+        assert linkage._typed(v, w) == (r if r >= linkage.TYPED else 0.0)
