@@ -2,6 +2,7 @@ import importlib.util
 import math
 import os
 import random
+import sys
 from collections import Counter
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
@@ -472,6 +473,52 @@ def test_slots_must_be_filled_alike(spark):
         assert rows(leakage.leaked_items(d, i, broadcast_bytes=size)) == [(1, 9, "template")]
 
 
+def test_documents_are_judged_in_blocks_and_apart(monkeypatch):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    items = [(k, [word() for _ in range(24)], 0) for k in range(5)]
+    coder = leakage.Coder({w: 0 for _, words, _ in items for w in words})
+    t = leakage.Items([(k, *coder(words), lead) for k, words, lead in items])
+    docs, want = [], []
+    for n in range(400):
+        k, words, _ = rng.choice(items)
+        if n % 4 == 0:  # a passage
+            docs.append((n, " ".join([word(), *words[4:19], word()])))
+            want.append((n, k, "verbatim"))
+        else:  # the second half of one document continues the first half of the one before, which is no passage
+            half = words[:9] if n % 4 == 1 else items[0][1][:9] if n % 4 == 2 else items[0][1][9:18]
+            docs.append((n, " ".join(half)))
+    calls = []
+    judged = leakage.judged
+    monkeypatch.setattr(leakage, "judged", lambda *a: calls.append(1) or judged(*a))
+    assert sorted(leakage.leaking(coder, t, docs, 12, 8)) == want
+    assert len(calls) == 1  # not once a document
+    for words, met, some in ((300, 40, 7), (1, 1, 1)):
+        monkeypatch.setattr(leakage, "BLOCK_WORDS", words)
+        monkeypatch.setattr(leakage, "BLOCK_MET", met)
+        monkeypatch.setattr(leakage, "BLOCK_WINDOWS", some)
+        assert sorted(leakage.leaking(coder, t, docs, 12, 8)) == want
+
+
+def test_pairs_that_lack_too_many_words_are_not_aligned():
+    def lines(item: np.ndarray, doc: np.ndarray) -> tuple[bool, int]:
+        count, before = [], sys.gettrace()
+        sys.settrace(lambda frame, event, arg: (lambda *_: count.append(1)) if frame.f_code is leakage.leaks.__code__ else None)
+        try:
+            return leakage.leaks(item, doc, 0, np.array([0])), len(count)
+        finally:
+            sys.settrace(before)
+
+    for n in (12, 16, 24, 40):
+        item = np.arange(100, 100 + n)
+        gone = np.linspace(1, n - 2, n // 8 + 1).astype(int)  # as many as a span of all words may lack
+        left = np.delete(item, gone)
+        assert lines(item, left)[0], n
+    item = np.arange(100, 140)
+    none, cost = lines(item, np.where(item % 3, item, -7))  # a third is changed everywhere
+    assert not none and cost < 40  # lines of code that ran, not some for each word
+
+
 def test_instructions_are_those_of_whole_suites(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))

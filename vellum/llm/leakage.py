@@ -18,7 +18,7 @@ import html
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +35,17 @@ FIXED_WORDS = 200_000  # the most frequent item words that keep their own code i
 SIEVE_WORDS = 1 << 21  # words of 64 bits in front of a join with more items than can be sent to all workers
 NUMBER, NAME, UNIT = 1, 2, 3
 MANY = 1 << 20
+BLOCK_WORDS = 1 << 16  # words of documents that are looked up and judged at once
+BLOCK_MET = 1 << 18  # pairs of windows that met and are judged at once, or those of one document
+BLOCK_WINDOWS = 1 << 12  # of these, whose neighbourhoods are compared at once
 MARKUP = re.compile(r"<[a-zA-Z/!][^<>]{0,300}>|\\[a-zA-Z]+\{?|\{\\[a-z]+")
 LINE_HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐­][ \t]*(?:\r\n|[\r\n])[ \t]*(?=[^\W\d_])")
 #: Control and zero-width characters and combining marks.
 INVISIBLE = re.compile(r"[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯­​-‏⁠-⁤﻿\x00-\x08\x0e-\x1f\x7f]")
 WORD = re.compile(r"[^\W_]+")
-ASCII_WORD = re.compile(r"[a-z0-9]+")
+#: For texts in ASCII: what is no letter or digit parts words, but for characters that are invisible.
+ASCII_WORDS = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else 32 for c in range(256))
+ASCII_INVISIBLE = bytes(c for c in range(128) if INVISIBLE.match(chr(c)))
 
 
 def canonical_words(text: str) -> list[str]:
@@ -52,7 +57,7 @@ def canonical_words(text: str) -> list[str]:
     if ("\n" in text or "\r" in text) and ("-" in text or not text.isascii()):
         text = LINE_HYPHEN.sub("", text)
     if text.isascii():
-        return ASCII_WORD.findall(INVISIBLE.sub("", text).lower() if not text.isprintable() else text.lower())
+        return text.encode("ascii").translate(ASCII_WORDS, ASCII_INVISIBLE).decode("ascii").split()
     text = INVISIBLE.sub("", unicodedata.normalize("NFKD", text))
     return WORD.findall(text.casefold())
 
@@ -86,21 +91,61 @@ class Coder:
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > MANY:
             self._clear()
-        get, new = self.index.get, self._new
-        at = np.array([k if (k := get(w)) is not None else new(w) for w in words], np.int64)
+        for w in set(words).difference(self.index):
+            self._new(w)
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         return self.own[at], self.typed[at]
 
 
+def blocks(coder: Coder, texts: Iterable[tuple[int, str]], least: int, gap: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, begins, ends, own codes, template codes) of the documents of ``least`` words, BLOCK_WORDS or one document at a time.
+
+    In front of and behind each document are ``gap`` codes of -1, which agree with no item's.
+    """
+    ids: list[int] = []
+    words: list[str] = []
+    length: list[int] = []
+
+    def block() -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        n = np.array(length, np.int64)
+        before = gap * np.arange(1, len(n) + 1)
+        begin = np.cumsum(n) - n + before
+        at = np.arange(len(words)) + np.repeat(before, n)
+        own, typed = (np.full(len(words) + gap * (len(n) + 1), -1, np.int64) for _ in range(2))
+        own[at], typed[at] = coder(words)
+        return ids, begin, begin + n, own, typed
+
+    for i, text in texts:
+        w = canonical_words(text)
+        if len(w) < least:
+            continue
+        if ids and len(words) + len(w) > BLOCK_WORDS:
+            yield block()
+            ids, words, length = [], [], []
+        ids.append(i)
+        words += w
+        length.append(len(w))
+    if ids:
+        yield block()
+
+
+def gap_words(min_words: int, share: int) -> int:
+    """Words between the documents of a block, so that no neighbourhood that ``judged`` looks at reaches another document."""
+    return max(2 * min_words, min_words + WINDOW + min_words // share + 1)
+
+
 def windows(own: np.ndarray, typed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, places) of the windows as written, and as templates where slots and at least half of fixed words are in one."""
+    """(keys, places) of the windows as written, and as templates where slots and at least half of fixed words are in one; none over a gap."""
     exact = window_keys(own)
     n = len(exact)
     if not n:
         return exact, np.empty(0, np.int64)
+    word = own >= 0
+    whole = word[:n] & word[WINDOW - 1 :]
     fixed = np.concatenate([[0], np.cumsum(typed > UNIT)])
     fixed = fixed[WINDOW:] - fixed[:-WINDOW]
-    slots = np.flatnonzero((fixed < WINDOW) & (fixed * 2 >= WINDOW))
-    return np.concatenate([exact, window_keys(typed)[slots]]), np.concatenate([np.arange(n), slots])
+    full, slots = np.flatnonzero(whole), np.flatnonzero(whole & (fixed < WINDOW) & (fixed * 2 >= WINDOW))
+    return np.concatenate([exact[full], window_keys(typed)[slots]]), np.concatenate([full, slots])
 
 
 class Items:
@@ -125,13 +170,19 @@ class Items:
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[self.keys & ((1 << 20) - 1)] = True
 
-    def meet(self, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, place in the document, place in the item) of the windows that meet."""
+    def meet(self, keys: np.ndarray, places: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, place in the block, place in the item) of the windows that meet; ``begin``: of the block's documents, each of which is in one part."""
         maybe = np.flatnonzero(self.sieve[keys & ((1 << 20) - 1)])
         first = np.searchsorted(self.keys, keys[maybe], side="left")
         n = np.searchsorted(self.keys, keys[maybe], side="right") - first
-        hit = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return self.item[hit], np.repeat(places[maybe], n), self.place[hit]
+        met = np.flatnonzero(n)
+        maybe, first, n = maybe[met], first[met], n[met]
+        of = np.searchsorted(begin, places[maybe], side="right") - 1
+        part = (np.cumsum(np.bincount(of, n, len(begin))) // BLOCK_MET)[of]
+        for p in np.unique(part):
+            w = np.flatnonzero(part == p)
+            hit = np.repeat(first[w] - (np.cumsum(n[w]) - n[w]), n[w]) + np.arange(n[w].sum())
+            yield self.item[hit], np.repeat(places[maybe[w]], n[w]), self.place[hit]
 
 
 def item_windows(own: np.ndarray, typed: np.ndarray, lead: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,6 +225,10 @@ def leaks(item: np.ndarray, doc: np.ndarray, lead: int, seeds: np.ndarray, min_w
     part = doc[a:b]
     n, m = len(item), len(part)
     same = item[:, None] == part
+    # Item words that are nowhere in the part agree in no alignment: some span must do without too many of them.
+    lack = share * np.concatenate([[0], np.cumsum(~same.any(1))]) - np.arange(n + 1)
+    if n < min_words or (lack[min_words:] - np.maximum.accumulate(lack)[: n + 1 - min_words]).min() > share:
+        return False
     fresh = same.copy()
     fresh[1:, 1:] &= ~same[:-1, :-1]  # an agreeing word before a begin only helps
     begins = np.flatnonzero(fresh[: n - min_words + 1].any(1))
@@ -204,19 +259,20 @@ def leaks(item: np.ndarray, doc: np.ndarray, lead: int, seeds: np.ndarray, min_w
 
 def promising(t: Items, codes: np.ndarray, of: np.ndarray, item: np.ndarray, at: np.ndarray, place: np.ndarray, reach: int, band: int, least: int) -> np.ndarray:
     """Whether within ``reach`` item words some around each met window ``least`` agree close to its diagonal; ``of``: the items' codes."""
-    if not len(item):
-        return np.zeros(0, bool)
-    pad = reach + band + WINDOW
-    doc = np.concatenate([np.full(pad, -1), codes, np.full(pad, -1)])
+    out = np.zeros(len(item), bool)
     span = np.arange(-reach + WINDOW, reach)
-    q = place[:, None] + span
-    inside = (q >= 0) & (q < t.length[item][:, None])
-    want = np.where(inside, of[np.minimum(np.maximum(t.offset[item][:, None] + q, 0), len(of) - 1)], -2)
-    agree = np.zeros(want.shape, bool)
-    for e in range(-band, band + 1):
-        agree |= doc[at[:, None] + (span + e + pad)] == want
-    c = np.cumsum(np.pad(agree, ((0, 0), (1, 0))), axis=1)
-    return (c[:, reach:] - c[:, :-reach]).max(1) >= least
+    for k in range(0, len(item), BLOCK_WINDOWS):
+        i, p, d = (x[k : k + BLOCK_WINDOWS, None] for x in (item, place, at))
+        q = p + span
+        inside = (q >= 0) & (q < t.length[i])
+        want = np.where(inside, of[np.minimum(np.maximum(t.offset[i] + q, 0), len(of) - 1)], -2)
+        agree = np.zeros(want.shape, bool)
+        for e in range(-band, band + 1):
+            agree |= codes[d + (span + e)] == want
+        c = np.zeros((len(want), len(span) + 1), np.int32)
+        np.cumsum(agree, axis=1, out=c[:, 1:])
+        out[k : k + BLOCK_WINDOWS] = (c[:, reach:] - c[:, :-reach]).max(1) >= least
+    return out
 
 
 def reparameterised(own: np.ndarray, typed: np.ndarray, doc_own: np.ndarray, doc_typed: np.ndarray, shift: int, lead: int, min_words: int = MIN_WORDS) -> bool:
@@ -244,29 +300,40 @@ def reparameterised(own: np.ndarray, typed: np.ndarray, doc_own: np.ndarray, doc
     return bool((mine != theirs).any()) and pairs == len(np.unique(mine)) == len(np.unique(theirs))
 
 
-def judged(t: Items, item: np.ndarray, at: np.ndarray, place: np.ndarray, own: np.ndarray, typed: np.ndarray, min_words: int, share: int) -> list[tuple[int, str]]:
-    """(item number, kind) for a document of which windows met."""
+def judged(t: Items, item: np.ndarray, at: np.ndarray, place: np.ndarray, begin: np.ndarray, end: np.ndarray, own: np.ndarray, typed: np.ndarray, min_words: int, share: int) -> list[tuple[int, int, str]]:
+    """(document number, item number, kind) for a block of documents of which windows met."""
     # In a window met as a template, all words but one must agree themselves to speak for a passage.
     exact = sum((own[at + k] == t.own[t.offset[item] + place + k]).astype(np.int64) for k in range(WINDOW))
-    # Windows of one item, diagonal and neighbourhood ask the same.
+    # Windows of one document, item, diagonal and neighbourhood ask the same.
     ask = (item << 44) + ((at - place + (1 << 20)) << 20) + place // 4
     strong = np.flatnonzero(exact >= WINDOW - 1)
     strong = strong[np.unique(ask[strong], return_index=True)[1]]
     least, band = -(-min_words * (share - 1) // share) - 1, min_words // share + 1
     strong = strong[promising(t, own, t.own, item[strong], at[strong], place[strong], min_words + WINDOW, band, least)]
-    out = []
-    for i in np.unique(item[strong]):
-        d = np.sort((at - place)[strong[item[strong] == i]])
-        groups = np.split(d, np.flatnonzero(np.diff(d) > 8) + 1)
-        if any(leaks(t.items[i][1], own, t.items[i][3], g, min_words, share) for g in groups):
-            out.append((int(i), "verbatim"))
+    of = np.searchsorted(begin, at, side="right") - 1
+    shift = at - place - begin[of]
+    found: dict[tuple[int, int], str] = {}
+    strong = strong[np.lexsort((shift[strong], item[strong], of[strong]))]
+    other = (np.diff(of[strong]) != 0) | (np.diff(item[strong]) != 0) | (np.diff(shift[strong]) > 8)
+    for group in np.split(strong, np.flatnonzero(other) + 1) if len(strong) else []:
+        n, i = int(of[group[0]]), int(item[group[0]])
+        if (n, i) not in found and leaks(t.items[i][1], own[begin[n] : end[n]], t.items[i][3], shift[group], min_words, share):
+            found[n, i] = "verbatim"
     weak = np.unique(ask, return_index=True)[1]
-    weak = weak[~np.isin(item[weak], [i for i, _ in out])]
     weak = weak[promising(t, typed, t.typed, item[weak], at[weak], place[weak], 2 * min_words, 0, min_words)]
-    for i, shift in sorted({(int(i), int(d)) for i, d in zip(item[weak], (at - place)[weak])}):
-        if (i, "template") not in out[-1:] and reparameterised(t.items[i][1], t.items[i][2], own, typed, shift, t.items[i][3], min_words):
-            out.append((i, "template"))
-    return out
+    for n, i, d in sorted(set(zip(of[weak].tolist(), item[weak].tolist(), shift[weak].tolist()))):
+        if (n, i) not in found and reparameterised(t.items[i][1], t.items[i][2], own[begin[n] : end[n]], typed[begin[n] : end[n]], d, t.items[i][3], min_words):
+            found[n, i] = "template"
+    return [(n, i, kind) for (n, i), kind in found.items()]
+
+
+def leaking(coder: Coder, t: Items, documents: Iterable[tuple[int, str]], min_words: int, share: int) -> list[tuple[int, int, str]]:
+    """(doc_id, item_id, kind) of (doc_id, text)."""
+    found = []
+    for ids, begin, end, own, typed in blocks(coder, documents, min_words // 2, gap_words(min_words, share)):
+        for item, at, place in t.meet(*windows(own, typed), begin):
+            found += [(ids[n], t.items[i][0], kind) for n, i, kind in judged(t, item, at, place, begin, end, own, typed, min_words, share)]
+    return found
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, share: int = EDIT_SHARE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -344,15 +411,7 @@ def _against_few(docs: DataFrame, told: DataFrame, types: dict[str, int], min_wo
         coder = Coder(types)
         t = Items([(i, *coder(w), lead) for i, w, lead in items])
         for batch in batches:
-            found = []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                words = canonical_words(text)
-                if len(words) < min_words // 2:
-                    continue
-                own, typed = coder(words)
-                item, at, place = t.meet(*windows(own, typed))
-                if len(item):
-                    found += [(doc_id, t.items[i][0], kind) for i, kind in judged(t, item, at, place, own, typed, min_words, share)]
+            found = leaking(coder, t, zip(*(c.to_pylist() for c in batch.columns)), min_words, share)
             if found:
                 yield _found(found)
 
@@ -410,12 +469,12 @@ def _against_many(docs: DataFrame, told: DataFrame, types: dict[str, int], min_w
             found = []
             for doc_id, item_id, text, words, lead, met in zip(*(c.to_pylist() for c in batch.columns)):
                 if last[0] != text:
-                    last = (text, coder(canonical_words(text)))
-                own, typed = last[1]
+                    last = (text, next(blocks(coder, [(doc_id, text)], 0, gap_words(min_words, share))))
+                _, begin, end, own, typed = last[1]
                 t = Items([(item_id, *coder(words), lead)])
                 place = np.array([p for m in met for p in m["place"]], np.int64)
-                at = place + np.array([m["d"] for m in met for _ in m["place"]], np.int64)
-                found += [(doc_id, item_id, kind) for _, kind in judged(t, np.zeros(len(at), np.int64), at, place, own, typed, min_words, share)]
+                at = place + np.array([m["d"] for m in met for _ in m["place"]], np.int64) + begin[0]
+                found += [(doc_id, item_id, kind) for *_, kind in judged(t, np.zeros(len(at), np.int64), at, place, begin, end, own, typed, min_words, share)]
             if found:
                 yield _found(found)
 
